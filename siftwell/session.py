@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,20 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once an application, so that Arrow functions can import it there."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        here = pathlib.Path(__file__).resolve().parent
+        path = pathlib.Path(tempfile.mkdtemp(prefix="siftwell-")) / "siftwell_code.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, f"{here.name}/{p.relative_to(here)}")
+        sc.addPyFile(str(path))
+        _SHIPPED.add(sc.applicationId)
+    return spark
