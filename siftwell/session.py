@@ -48,8 +48,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once an application, so that Arrow functions can import it there."""
+    """Sends this package to the executors, once an application, so that Arrow functions can import it there.
+
+    Arrow batches are also cut to 1,000 rows where the session has the default of 10,000: rows here are whole texts.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if sc.applicationId not in _SHIPPED:
         here = pathlib.Path(__file__).resolve().parent
         path = pathlib.Path(tempfile.mkdtemp(prefix="siftwell-")) / "siftwell_code.zip"
