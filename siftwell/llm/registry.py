@@ -31,3 +31,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm.bpe import encode_decode
 
     return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm import quality
+
+    docs = read(spark, sf_dir, "documents")
+    rules = quality.learn_from(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), rules).select("doc_id", *quality.STATISTICS, "base_failed", "kept", "rule")
+
+
+@query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm import pii
+
+    return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
