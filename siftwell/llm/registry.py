@@ -47,3 +47,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm import pii
 
     return pii.digest(pii.find(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from siftwell.llm import langid
+    from siftwell.llm.common import is_held_out
+
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.training_text(docs))
+    return found.select("doc_id", is_held_out().alias("held_out"), F.col("lang_pred"), F.col("score"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm import toxicity
+    from siftwell.llm.common import is_held_out
+
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")

@@ -76,11 +76,10 @@ def lowered(cp: np.ndarray) -> np.ndarray:
     return np.where((cp >= 65) & (cp <= 90), cp + np.uint32(32), cp)
 
 
-def space_words(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and lengths of the words between ASCII white space, and the place of each text's first word."""
-    gap = np.ones(len(cp) + 1, bool)
-    gap[:-1] = ascii_spaces(cp)
-    first = np.zeros(len(cp) + 1, bool)
+def words_between(gaps: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs without gaps inside each text, and the place of each text's first run."""
+    gap = np.r_[gaps, True]
+    first = np.zeros(len(gap), bool)
     first[ends] = True
     opens = ~gap
     opens[1:] &= gap[:-1] | first[1:]
@@ -90,6 +89,11 @@ def space_words(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, stop - starts, np.searchsorted(starts, ends)
 
 
+def space_words(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words between ASCII white space."""
+    return words_between(ascii_spaces(cp), ends)
+
+
 def pattern_pieces(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same cut as the byte-level pattern (contractions, letters, numbers, others, white space) makes.
 
