@@ -69,3 +69,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.train(*toxicity.labelled_sample(docs, read(spark, sf_dir, "labels")))
     return toxicity.score(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm import urlfilter
+
+    return urlfilter.judge(read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwell.llm import secrets
+
+    return secrets.find(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from siftwell.llm import ann
+
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
