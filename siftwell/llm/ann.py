@@ -24,45 +24,46 @@ from siftwell.session import ship
 class Index:
     """One block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, n_lines: int = 96, seed: int = 5):
+    #: Half widths of the windows, in standard deviations of a projection; the last one holds everything.
+    WIDTHS = (0.8, 1.1, 1.5, 2.0, 3.0, 1e9)
+
+    def __init__(self, vectors: np.ndarray, n_lines: int = 192, seed: int = 5):
         self.vectors = vectors
         norms = (vectors * vectors).sum(axis=1)
-        self.spare = np.sqrt(np.maximum(0.0, norms.max() - norms))
+        self.norm = float(np.sqrt(norms.max()))
+        spare = np.sqrt(np.maximum(0.0, norms.max() - norms))
         self.lines = np.random.default_rng(seed).normal(size=(vectors.shape[1] + 1, n_lines))
-        projected = np.c_[vectors, self.spare] @ self.lines
-        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
-        self.reach = float(np.sqrt(2 * norms.max()))
-
-    def search(self, query: np.ndarray, k: int, share: float = 0.12, need: float = 0.56, steps: int = 8) -> np.ndarray:
-        """Places of the vectors to verify: those in at least ``need`` of the windows once they are ``share`` of all."""
-        n, n_lines = len(self.vectors), len(self.order)
-        wanted = max(8 * k, int(share * n))
+        projected = (np.c_[vectors, spare] @ self.lines).T
+        self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+
+    def search(self, query: np.ndarray, k: int, share: float = 0.08, least: int = 1500, n_used: int = 40, need: float = 0.55) -> np.ndarray:
+        """Places of the vectors to verify: those that collide in the most windows, ``share`` of all and ``least`` or more.
+
+        Of all lines those count on which the query lies farthest out: there its windows hold few other vectors. Windows
+        widen until the verified ones lie in at least ``need`` of them.
+        """
+        n = len(self.vectors)
+        wanted = max(8 * k, int(share * n), least)
         if n <= wanted:
             return np.arange(n)
-        # a query of another length asks for the same order: it is scaled to the block's greatest norm
-        scale = self.reach / np.sqrt(2) / np.sqrt(query @ query)
-        centre = (query * scale) @ self.lines[:-1]
-        count = np.zeros(n, np.uint8)
+        # scaling a query keeps its order: it gets the block's greatest norm
+        centre = (query * (self.norm / np.sqrt(query @ query))) @ self.lines[:-1]
+        used = np.argsort(-np.abs(centre), kind="stable")[:n_used]
+        count = np.zeros(n, np.int64)
         low = high = None
-        for step in range(1, steps + 1):
-            half = self.reach * 0.9 * step / steps * 1.5
-            if step < 4:
-                continue
-            first = np.fromiter((np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, centre, strict=True)), np.int64, n_lines)
-            last = np.fromiter((np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre, strict=True)), np.int64, n_lines)
-            for j in range(n_lines):
-                if low is None:
-                    count[self.order[j, first[j] : last[j]]] += 1
-                else:
-                    count[self.order[j, first[j] : low[j]]] += 1
-                    count[self.order[j, high[j] : last[j]]] += 1
+        for width in self.WIDTHS:
+            half = width * self.norm
+            first = [int(np.searchsorted(self.sorted[j], centre[j] - half, "left")) for j in used]
+            last = [int(np.searchsorted(self.sorted[j], centre[j] + half, "right")) for j in used]
+            low, high = (low, high) if low else (first, first)
+            new = [self.order[j, x:y] for j, a, b, c, d in zip(used, first, low, high, last, strict=True) for x, y in ((a, b), (c, d))]
+            count += np.bincount(np.concatenate(new), minlength=n)
             low, high = first, last
-            enough = np.bincount(count, minlength=n_lines + 1)[::-1].cumsum()[::-1]
-            # the highest threshold that still leaves the wanted share; it must be a true majority of the windows
-            threshold = int(np.flatnonzero(enough >= wanted)[-1])
-            if threshold >= need * n_lines:
-                return np.flatnonzero(count >= threshold)
+            reached = np.bincount(count, minlength=n_used + 1)[::-1].cumsum()[::-1]
+            threshold = int(np.flatnonzero(reached >= wanted)[-1])
+            if threshold >= need * len(used):
+                break
         return np.flatnonzero(count >= threshold)
 
 
@@ -74,7 +75,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(fine).select(F.col(id_col).cast("long").alias("i"), v.cast("array<double>").alias("v"), finite.alias("ok")).where(F.coalesce(F.col("ok"), F.lit(False))).drop("ok")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536, chunk_rows: int = 512, share: float = 0.12) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32_768, chunk_rows: int = 1024, share: float = 0.08) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries`` among all rows of ``df``."""
     ship(df.sparkSession)
     n_blocks = max(1, -(-df.count() // block_rows))
