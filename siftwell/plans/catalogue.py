@@ -1,4 +1,436 @@
-"""Every query of the reference's operators by name, with its oracle."""
+"""Every query of the retrieval engine's operators by name, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as tx
+from siftwell.operators import chunking, hydrate, lexical, lms, logs, metrics, models, ranking
+from siftwell.sources import crawl, feeds, html, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, sql: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {sql}")
+
+
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+@query(f"""
+SELECT rank, id, round(score, 6) AS score FROM (
+  SELECT e.vec_id AS id, {_COS} AS score, row_number() OVER (ORDER BY {_COS} DESC, e.vec_id) AS rank
+  FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0) WHERE rank <= 10
+""")
+def knn_global_top10(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return ranking.knn(e, e.where(F.col("vec_id") == 0)).select("rank", "id", F.round("score", 6).alias("score"))
+
+
+_ONCE = f"""
+WITH near AS (
+  SELECT e.label AS resource, e.vec_id AS id, e.vec_id // 3 AS mongo_id, {_COS} AS cosine FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.vec_id <> 0
+), per_source AS (SELECT *, row_number() OVER (PARTITION BY resource ORDER BY cosine DESC, id) AS r FROM near QUALIFY r <= 10)
+"""
+
+
+@query(f"""
+{_ONCE}, kept AS (SELECT *, row_number() OVER (PARTITION BY resource, mongo_id ORDER BY cosine DESC, id) AS f FROM per_source WHERE cosine >= 0.025 QUALIFY f = 1)
+SELECT CAST(resource AS INTEGER) AS resource, id, mongo_id, round(cosine, 6) AS score, row_number() OVER (ORDER BY cosine DESC, resource, id) AS final_rank FROM kept
+""")
+def knn_per_source_top10(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    near = ranking.knn(e, e.where(F.col("vec_id") == 0), source_col="label").select("query_id", F.col("source").alias("resource"), "id", F.expr("id div 3").alias("mongo_id"), "score")
+    ranked = ranking.top_n(near, 1 << 30, ["query_id"], ties=["resource", "id"])
+    return ranking.finish(ranked).select("resource", "id", "mongo_id", F.round("score", 6).alias("score"), "final_rank")
+
+
+@query(f"""
+SELECT query_id, rank, id, round(score, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) AS rank
+  FROM embeddings e JOIN embeddings q ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 10
+""")
+def knn_batch_queries(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    return ranking.knn(e, e.where(F.col("vec_id") % 20 == 0)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+{_ONCE}, scored AS (SELECT *, (cosine + CASE WHEN resource = 1 THEN 1 ELSE 0 END) / 2 AS score FROM per_source),
+cut AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10),
+once AS (SELECT *, row_number() OVER (PARTITION BY resource, mongo_id ORDER BY score DESC, rank) AS f FROM cut WHERE score >= 0.025 QUALIFY f = 1)
+SELECT resource, mongo_id, id, round(score, 6) AS score, rank, row_number() OVER (ORDER BY score DESC, rank) AS final_rank FROM once
+""")
+def pipeline_topn_threshold_dedup(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    near = ranking.knn(e, e.where(F.col("vec_id") == 0), source_col="label").drop("rank").withColumnRenamed("source", "resource").withColumn("mongo_id", F.expr("id div 3"))
+    scored = near.withColumn("score", (F.col("score") + F.when(F.col("resource") == 1, 1).otherwise(0)) / 2)
+    return ranking.finish(ranking.top_n(scored, 10, ["query_id"], ties=["id"])).select("resource", "mongo_id", "id", F.round("score", 6).alias("score"), "rank", "final_rank")
+
+
+_WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+
+def _clean(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '<[^>]+>', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_clean('html')} AS content FROM pages")
+def clean_text_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", tx.clean_text(F.col("html")).alias("content"))
+
+
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+
+
+@query(f"SELECT page_id, {_ESC.format('url')} AS url, {_ESC.format('html')} AS html FROM pages")
+def html_escape_pages(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", tx.html_escape(F.col("url")).alias("url"), tx.html_escape(F.col("html")).alias("html"))
+
+
+_CHUNKS = f"""
+WITH RECURSIVE t AS (SELECT doc_id, source, list_filter(string_split_regex({_clean('text')}, '\\s+'), lambda x: x <> '') AS w FROM documents),
+c AS (SELECT doc_id, source, w, 0 AS k, 0 AS first FROM t WHERE len(w) > 0
+      UNION ALL SELECT doc_id, source, w, k + 1, first + 384 FROM c WHERE first + 512 < len(w))
+"""
+
+
+@query(f"{_CHUNKS} SELECT doc_id, k AS chunk_number, len(w[first + 1 : first + 512]) AS n_tokens, array_to_string(w[first + 1 : first + 512], ' ') AS content FROM c")
+def chunk_documents(spark, sf_dir):
+    return chunking.chunk(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_number", "n_tokens", "content")
+
+
+@query(f"""{_CHUNKS} SELECT doc_id, k AS chunk_number, '<chunk chunk_number=' || k || ' source_url="https://kb.example.org/?a=1&amp;d=' || doc_id || '" source_page_title="' || source || ' &quot;' || doc_id || '&quot;">' || chr(10)
+  || array_to_string(w[first + 1 : first + 512], ' ') AS content FROM c""")
+def prefix_chunks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    pages = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("https://kb.example.org/?a=1&d="), F.col("doc_id").cast("string")).alias("source_url"), F.concat(F.col("source"), F.lit(' "'), F.col("doc_id").cast("string"), F.lit('"')).alias("source_page_title"), F.col("text").alias("content"))
+    return chunking.index_rows(pages, "eduwiki").select(F.col("mongo_id").alias("doc_id"), "chunk_number", "content")
+
+
+@query("""
+SELECT doc_id, CASE WHEN len(l) <= 2 THEN '' ELSE regexp_replace(array_to_string(l[3:], chr(10)), '^\\n+|\\n+$', '', 'g') END AS preview
+FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS l FROM documents)
+""")
+def preview_drop_two_lines(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tx.preview(F.col("text")).alias("preview"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN greatest(la, cy, ar) = 0 THEN NULL WHEN la >= cy AND la >= ar THEN 'English' WHEN cy >= ar THEN 'Russian' ELSE 'Arabic' END AS language
+FROM (SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS la, length(regexp_replace(text, '[^\\x{400}-\\x{4ff}]', '', 'g')) AS cy, length(regexp_replace(text, '[^\\x{600}-\\x{6ff}]', '', 'g')) AS ar FROM documents)
+""")
+def language_script_ratio(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tx.language_by_script(F.col("text")).alias("language"))
+
+
+_LINKS = "SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=\"([^\"]*)\"', 1)) AS href FROM pages"
+
+
+@query(f"SELECT page_id, href, count(*) AS n FROM ({_LINKS}) GROUP BY ALL")
+def link_edges(spark, sf_dir):
+    return crawl.link_edges(read(spark, sf_dir, "pages")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT DISTINCT page_id, target, replace(trim(path, '/'), '/', '_') || '.md' AS file FROM (
+  SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS target, regexp_extract(href, '^([^?#]*)', 1) AS path FROM ({_LINKS}) WHERE starts_with(href, '/'))
+WHERE NOT lower(path) LIKE '%.pdf' AND rtrim(path, '/') NOT IN ('', '/en')
+""")
+def internal_links(spark, sf_dir):
+    return crawl.internal_links(read(spark, sf_dir, "pages"))
+
+
+_EDGES = "('a','b'),('b','c'),('c','a'),('c','d'),('e','f'),('d','g'),('a','g')"
+
+
+@query(f"""
+WITH RECURSIVE e(source, target) AS (VALUES {_EDGES}), w(page, depth) AS (SELECT 'a', 0 UNION SELECT target, depth + 1 FROM w JOIN e ON source = page WHERE depth < 10)
+SELECT page, CAST(min(depth) AS INTEGER) AS depth FROM w GROUP BY page
+""")
+def crawl_bfs(spark, sf_dir):
+    return crawl.reachable(values(spark, f"{_EDGES} AS t(source, target)"), values(spark, "('a') AS t(page)"))
+
+
+_TERMS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id AS doc, {_TERMS.format('text')} AS w FROM documents), size AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
+p AS (SELECT term, doc, count(*) AS tf, any_value(length) AS length FROM (SELECT doc, len(w) AS length, unnest(w) AS term FROM t) GROUP BY term, doc),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('text')})) AS term FROM benchmark),
+i AS (SELECT term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, size GROUP BY term, docs),
+s AS (SELECT query_id, doc, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN i USING (term), size GROUP BY query_id, doc)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank, doc, score FROM s QUALIFY rank <= 10
+""")
+def bm25_top10(spark, sf_dir):
+    return lexical.bm25(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+
+
+@query(f"""
+SELECT l.doc_id AS id, 0.5 + 0.25 * l.quality AS score, d.source AS display_name, 'https://kb.example.org/' || d.doc_id AS url,
+  CASE WHEN len(x) <= 2 THEN '' ELSE regexp_replace(array_to_string(x[3:], chr(10)), '^\\n+|\\n+$', '', 'g') END AS preview_text
+FROM labels l JOIN (SELECT *, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS x FROM documents) d USING (doc_id)
+""")
+def hits_hydrate_join(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("https://kb.example.org/"), F.col("doc_id").cast("string")).alias("source_url"), F.col("source").alias("source_page_title"), F.col("text").alias("content"))
+    hits = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.lit("eduwiki").alias("resource"), F.col("doc_id").alias("mongo_id"), (F.lit(0.5) + 0.25 * F.col("quality")).alias("score"))
+    return hydrate.hydrate_pages(hits, docs, "eduwiki").select(F.col("query_id").alias("id"), "score", "display_name", "url", "preview_text")
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    """Orders as modules: one course a customer, line items as contents in order of line number."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.when(F.col("l_returnflag") == "N", "file").when(F.col("l_returnflag") == "R", "url").otherwise("other").alias("type"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("filename"), F.unix_timestamp(F.col("l_shipdate").cast("timestamp")).alias("timecreated"), F.col("l_quantity").cast("long").alias("timemodified"), (F.col("l_linestatus") == "F").alias("uploaded")).alias("c"))
+    held = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_orderkey", "c"))), lambda x: x["c"]).alias("contents"))
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("module_id"), F.col("o_custkey").alias("course_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(" / x")).alias("course_fullname"), F.col("o_orderpriority").alias("module_name"), F.lit(1).cast("long").alias("section_id"))
+    return o.join(held.withColumnRenamed("l_orderkey", "module_id"), "module_id")
+
+
+_LI = """SELECT *, row_number() OVER (PARTITION BY module_id ORDER BY line, type, filename, created, modified, uploaded) AS n, count(*) OVER (PARTITION BY module_id) AS held FROM (
+  SELECT l_orderkey AS module_id, o_custkey AS course_id, o_orderpriority AS module_name, l_linenumber AS line, 'f' || l_partkey AS filename, CAST(epoch(l_shipdate) AS BIGINT) AS created, CAST(l_quantity AS BIGINT) AS modified,
+  l_linestatus = 'F' AS uploaded, CASE l_returnflag WHEN 'N' THEN 'file' WHEN 'R' THEN 'url' ELSE 'other' END AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(f"""
+SELECT module_id, filename, CASE type WHEN 'file' THEN 'moodle-file' WHEN 'url' THEN 'moodle-url' ELSE 'moodle-unknown' END AS type,
+  'https://lms.example.org/course/view.php?id=' || course_id || '#sectionid-1-title' AS link, CASE WHEN held > 1 THEN module_name || ' / ' || filename ELSE module_name END AS display_name,
+  CASE WHEN type = 'file' THEN 'moodle/' || course_id || '/' || module_id || '/' || filename END AS object_key, 'Moodle > C' || course_id || ' > ' || module_name AS breadcrumbs, count(*) AS n
+FROM ({_LI}) GROUP BY ALL
+""")
+def explode_nested_contents(spark, sf_dir):
+    rows = hydrate.shape_course_rows(_nested(spark, sf_dir))
+    return rows.withColumn("breadcrumbs", F.array_join("breadcrumbs", " > ")).groupBy("module_id", "filename", "type", "link", "display_name", "object_key", "breadcrumbs").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT module_id, course_id FROM ({_LI}) WHERE module_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10))")
+def semi_join_triples(spark, sf_dir):
+    small = read(spark, sf_dir, "part").where(F.col("p_size") < 10).select(F.col("p_partkey").alias("l_partkey"))
+    picked = read(spark, sf_dir, "lineitem").where(F.col("l_quantity") == 50).join(small, "l_partkey", "left_semi").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    wanted = picked.select(F.col("o_custkey").alias("course_id"), F.col("l_orderkey").alias("module_id"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("filename"))
+    return hydrate.semi_join_triples(_nested(spark, sf_dir), wanted).select("module_id", "course_id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join_visited(spark, sf_dir):
+    seen = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return read(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT o_orderkey, 'X', round(o_totalprice * 2, 2) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT -1 - o_orderkey, 'N', round(o_totalprice, 2) FROM orders WHERE o_orderstatus = 'P'
+""")
+def upsert_merge(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    again = o.where(F.col("o_orderstatus") == "F").withColumn("o_orderstatus", F.lit("X"))
+    both = again.withColumn("seq", F.lit(1)).unionByName(again.withColumn("seq", F.lit(2)).withColumn("o_totalprice", F.col("o_totalprice") * 2))
+    new = o.where(F.col("o_orderstatus") == "P").select((-1 - F.col("o_orderkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), "o_totalprice", F.lit(1).alias("seq"))
+    return lms.upsert(o, both.unionByName(new), ["o_orderkey"], "seq").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+def _newer(spark, sf_dir) -> DataFrame:
+    """The same modules, nothing uploaded, every file of even quantity changed, some times unknown."""
+    def again(c):
+        return c.withField("uploaded", F.lit(False)).withField("timecreated", F.when(c["timemodified"] % 5 == 0, None).otherwise(c["timecreated"])).withField("timemodified", F.when(c["timemodified"] % 2 == 0, c["timemodified"] + 100).otherwise(c["timemodified"]))
+
+    return _nested(spark, sf_dir).withColumn("contents", F.transform("contents", again))
+
+
+_PAIR = f"""
+WITH s AS ({_LI}), k AS (SELECT module_id, filename, arg_max(CASE WHEN nulls THEN -1 ELSE created END, n) AS created, arg_max(modified, n) AS modified, arg_max(uploaded, n) AS uploaded FROM (SELECT *, modified % 7 = 0 AS nulls FROM s) GROUP BY ALL),
+i AS (SELECT module_id, course_id, n, filename, type, CASE WHEN modified % 5 = 0 THEN -1 ELSE created END AS created, CASE WHEN modified % 2 = 0 THEN modified + 100 ELSE modified END AS modified FROM s)
+"""
+
+
+def _stored(spark, sf_dir) -> DataFrame:
+    return _nested(spark, sf_dir).withColumn("contents", F.transform("contents", lambda c: c.withField("timecreated", F.when(c["timemodified"] % 7 == 0, None).otherwise(c["timecreated"]))))
+
+
+@query(f"{_PAIR} SELECT module_id, string_agg(i.filename || ':' || CASE WHEN k.created = i.created AND k.modified = i.modified THEN k.uploaded ELSE false END, ',' ORDER BY i.n) AS contents FROM i JOIN k USING (module_id, filename) GROUP BY module_id")
+def carry_forward_nullsafe(spark, sf_dir):
+    done = lms.carry_forward(_stored(spark, sf_dir), _newer(spark, sf_dir))
+    return done.select("module_id", F.array_join(F.transform("contents", lambda c: F.concat(c["filename"], F.lit(":"), c["uploaded"].cast("string"))), ",").alias("contents"))
+
+
+@query(f"{_PAIR} SELECT i.module_id, i.filename, nullif(i.created, -1) AS timecreated, i.modified AS timemodified, count(*) AS n FROM i JOIN k USING (module_id, filename) WHERE type = 'file' AND (NOT k.uploaded OR k.created <> i.created OR k.modified <> i.modified) GROUP BY ALL")
+def change_detection(spark, sf_dir):
+    return lms.changed_contents(_stored(spark, sf_dir), _newer(spark, sf_dir)).groupBy("module_id", "filename", "timecreated", "timemodified").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH s AS ({_LI}), t AS (SELECT module_id, min_by(filename, filename) AS f FROM s GROUP BY module_id), p AS (SELECT module_id, min(n) AS place FROM s JOIN t USING (module_id) WHERE filename = f GROUP BY module_id)
+SELECT module_id, string_agg(CASE WHEN n = place THEN filename || ':true:1:2' ELSE filename || ':' || uploaded || ':' || created || ':' || modified END, ',' ORDER BY n) AS contents FROM s JOIN p USING (module_id) GROUP BY module_id
+""")
+def positional_update(spark, sf_dir):
+    m = _nested(spark, sf_dir)
+    put = lms.mark_uploaded(F.col("contents"), F.array_min(F.transform("contents", lambda c: c["filename"])), F.lit(1).cast("long"), F.lit(2).cast("long"))
+    show = lambda c: F.concat_ws(":", c["filename"], c["uploaded"].cast("string"), c["timecreated"].cast("string"), c["timemodified"].cast("string"))
+    return m.select("module_id", F.array_join(F.transform(put, show), ",").alias("contents"))
+
+
+@query("SELECT p_brand AS course_fullname, array_to_string(list_sort(list(CAST(p_partkey AS VARCHAR))), ',') AS ids FROM part GROUP BY p_brand")
+def group_push_ids(spark, sf_dir):
+    return lms.ids_by_course(read(spark, sf_dir, "part").withColumnRenamed("p_brand", "course_fullname"), "p_partkey").select("course_fullname", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT DISTINCT p_type AS course_fullname FROM part")
+def distinct_names(spark, sf_dir):
+    return lms.course_names(read(spark, sf_dir, "part").withColumnRenamed("p_type", "course_fullname"))
+
+
+_COURSES = "('[S25] A'),('[s25] B'),('[Sum24] C'),('[SUM 24] D'),('[F24-MFAI] E'),('[F24-S25] F'),('[F 24-S25] G'),('[IBC23] H'),('[F20] I'),('J'),('J')"
+_ONE, _TWO = r"(?i)\[((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?\]", r"(?i)\[((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?-((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?\]"
+
+
+@query(f"""
+WITH c(n) AS (SELECT DISTINCT * FROM (VALUES {_COURSES}) v(n)), x AS (SELECT n, regexp_extract(n, '{_ONE}', 1) AS o, regexp_extract(n, '{_TWO}', 1) AS l, regexp_extract(n, '{_TWO}', 2) AS r FROM c),
+k AS (SELECT n, unnest(CASE WHEN o <> '' THEN [replace(o, ' ', '')] WHEN l <> '' THEN [l, r] ELSE ['No Semester'] END) AS semester FROM x),
+g AS (SELECT semester, string_agg(n, ',' ORDER BY n) AS courses FROM k GROUP BY semester)
+SELECT row_number() OVER (ORDER BY coalesce(TRY_CAST(nullif(regexp_extract(semester, '(\\d{{2}})', 1), '') AS INTEGER), 0) DESC,
+  CASE WHEN starts_with(semester, 'Sum') THEN 4 WHEN starts_with(semester, 'S') THEN 3 WHEN starts_with(semester, 'F') THEN 2 WHEN starts_with(semester, 'IBC') THEN 1 ELSE 0 END DESC, semester) AS position, semester, courses FROM g
+""")
+def semester_grouping(spark, sf_dir):
+    return lms.courses_by_semester(values(spark, f"{_COURSES} AS t(course_fullname)")).withColumn("courses", F.array_join("courses", ","))
+
+
+@query("""
+WITH b(bucket) AS (VALUES ('system'), ('user'), ('assistant'), ('tool'))
+SELECT bucket, coalesce(string_agg(text || chr(10) || chr(10), '' ORDER BY conv_id, turn), '') AS content FROM b LEFT JOIN conversations ON role = bucket GROUP BY bucket
+""")
+def bucket_concat_rollup(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumn("position", F.struct("conv_id", "turn"))
+    return logs.group_texts(rows, ["system", "user", "assistant", "tool"], F.col("role"), "tool", "position", "text")
+
+
+_PATHS = "('moodle/1/2/file1.pdf'),('moodle/11/22/file2.pdf'),('moodle/blabla/fa/file.pdf'),('moodle/incomplete/path'),('moodle/1/2/dir/f.pdf')"
+
+
+@query(f"""
+SELECT course_id, module_id, filename FROM (SELECT TRY_CAST(split_part(p, '/', 2) AS BIGINT) AS course_id, TRY_CAST(split_part(p, '/', 3) AS BIGINT) AS module_id, split_part(p, '/', 4) AS filename, len(string_split(p, '/')) AS n FROM (VALUES {_PATHS}) v(p))
+WHERE n >= 4 AND course_id IS NOT NULL AND module_id IS NOT NULL
+""")
+def object_path_parse(spark, sf_dir):
+    return tables.parse_object_paths(values(spark, f"{_PATHS} AS t(path)"))
+
+
+@query("SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+def history_render(spark, sf_dir):
+    return logs.render_history(read(spark, sf_dir, "conversations"))
+
+
+@query(f"""
+WITH q AS (SELECT conv_id AS query_id, max_by(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id), r AS (SELECT conv_id AS query_id, turn, '<source resource="' || role || '">' || chr(10) || text || chr(10) || '</source>' AS p FROM conversations WHERE role <> 'user')
+SELECT query_id, 'Question: ' || regexp_replace(query, '^{_WS}+|{_WS}+$', '', 'g') || chr(10) || 'Answer strictly in English.' || chr(10) || chr(10) || '<context>' || chr(10) || coalesce(string_agg(p, chr(10) || chr(10) ORDER BY turn), '') || chr(10) || '</context>' || chr(10) AS prompt
+FROM q LEFT JOIN r USING (query_id) GROUP BY query_id, query
+""")
+def prompt_context(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations")
+    asked = c.where(F.col("role") == "user").groupBy(F.col("conv_id").alias("query_id")).agg(F.max_by("text", "turn").alias("query"))
+    rows = c.where(F.col("role") != "user").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("final_rank"), F.col("role").alias("resource"), F.col("text").alias("content"))
+    return logs.build_context(rows, asked, F.lit("English"))
+
+
+@query("SELECT conv_id, turn, " + " OR ".join(f"contains(lower(text), '{p}')" for p in tx.NO_INFO) + " AS no_info FROM conversations")
+def no_info_gate(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.is_no_info(F.col("text")).alias("no_info"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def feedback_stats(spark, sf_dir):
+    from siftwell.streaming.refresh import feedback_rates
+
+    return feedback_rates(read(spark, sf_dir, "events")).select("event_type", F.col("start").cast("timestamp_ntz").alias("hour"), "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH log AS (SELECT user_id AS id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)
+SELECT id, string_agg(event_id || ':' || CASE i WHEN 0 THEN 'like' WHEN 2 THEN 'dislike' ELSE '-' END, ',' ORDER BY i) AS responses, (1 + CASE WHEN max(i) < 2 THEN 1 ELSE 0 END) AS rejected FROM log GROUP BY id
+""")
+def apply_feedback(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    log = e.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: F.struct(x.alias("source"), F.lit(None).cast("string").alias("user_feedback"))).alias("wrapped_responses"))
+    given = log.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("response_index"), F.lit(f).alias("feedback")) for i, f in ((0, "like"), (2, "dislike"), (-1, "like"))))).alias("f")).select("id", "f.*")
+    done, refused = logs.apply_feedback(log, given)
+    shown = done.select("id", F.array_join(F.transform("wrapped_responses", lambda r: F.concat(r["source"].cast("string"), F.lit(":"), F.coalesce(r["user_feedback"], F.lit("-")))), ",").alias("responses"))
+    return shown.join(refused.groupBy("id").agg(F.count("*").cast("int").alias("rejected")), "id")
+
+
+_REL = """
+WITH n AS (SELECT source, doc_id, quality, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS i FROM documents JOIN labels USING (doc_id)),
+x AS (SELECT source, i, quality AS rel, sum(quality) OVER (PARTITION BY source ORDER BY i) AS before, row_number() OVER (PARTITION BY source ORDER BY quality DESC, i) AS best FROM n WHERE i <= 10)
+"""
+
+
+@query(f"""{_REL} SELECT source, round(coalesce(1.0 / min(CASE WHEN rel = 1 THEN i END), 0), 6) AS rr, round(sum(rel) / count(*), 6) AS ap_ref, round(sum(rel / log2(i + 1)) / sum(log2(i + 1)), 6) AS ndcg_ref,
+  round(coalesce(sum(rel / log2(i + 1)) / nullif(sum(rel / log2(best + 1)), 0), 0), 6) AS ndcg_std, round(coalesce(sum(rel * before / i) / nullif(sum(rel), 0), 0), 6) AS ap_std FROM x GROUP BY source""")
+def eval_rank_metrics(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    top = d.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.col("n_chars").desc(), "doc_id"))).where(F.col("i") <= 10)
+    lists = top.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "quality"))), lambda x: x["quality"]).alias("rel"))
+    return metrics.evaluate(lists).select("source", *(F.round(m, 6).alias(m) for m in ("rr", "ap_ref", "ndcg_ref", "ndcg_std", "ap_std")))
+
+
+_LISTS = "(1, ['u1','x'], ['u1','u2']), (2, ['u1','u2'], ['u1','u2']), (3, ['x','y'], ['u1']), (4, ['x','u1'], ['u1'])"
+
+
+@query(f"""
+SELECT id, array_to_string(CASE WHEN h > 0 AND h < len(expected) THEN list_transform(found, lambda u: 0) ELSE list_transform(found, lambda u: CASE WHEN list_contains(expected, u) THEN 1 ELSE 0 END) END, ',') AS rel, h = 0 OR h < len(expected) AS problem
+FROM (SELECT *, len(list_intersect(expected, found)) AS h FROM (VALUES {_LISTS}) v(id, found, expected))
+""")
+def eval_relevance_lists(spark, sf_dir):
+    lists = values(spark, f"{_LISTS.replace('[', 'array(').replace(']', ')')} AS t(id, found, expected)").withColumn("rel", metrics.relevance(F.col("found"), F.col("expected")))
+    bad = metrics.problem_queries(lists).select("id", F.lit(True).alias("p"))
+    return lists.join(bad, "id", "left").select("id", F.array_join("rel", ",").alias("rel"), F.coalesce("p", F.lit(False)).alias("problem"))
+
+
+@query("""
+SELECT n_name AS scene, '# ' || n_name || chr(10) || '### ' || s_name || chr(10) || '**Description:** a  ' || chr(10) || s_suppkey || '  ' || chr(10) || '**People:** p, q' AS content, s_name || ' in ' || n_name AS title
+FROM supplier JOIN nation ON s_nationkey = n_nationkey
+""")
+def map_area_documents(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    area = F.struct(F.col("s_name").alias("title"), F.col("s_suppkey").cast("string").alias("svg_polygon_id"), F.concat(F.lit("a\n"), F.col("s_suppkey").cast("string")).alias("description"), F.array(*(F.lit(x) for x in "pxqy")).alias("people"))
+    bodies = s.groupBy("n_name").agg(F.collect_list(area).alias("areas")).select(F.to_json(F.array(F.struct(F.col("n_name").alias("scene_id"), F.col("n_name").alias("title"), "areas"))).alias("body"))
+    return feeds.map_documents(bodies).select(F.col("scene_id").alias("scene"), "content", "title")
+
+
+@query("SELECT * FROM (VALUES ('- a' || chr(10) || chr(9) || '- h3: c' || chr(10)), ('- a' || chr(10) || chr(9) || '- h2: b' || chr(10) || chr(9) || '- h3: c' || chr(10))) v(content)")
+def table_to_list(spark, sf_dir):
+    return values(spark, "('h1;h2;h3', 'a;;c'), ('h1;h2;h3', 'a;b;c;d') AS t(h, b)").select(feeds.table_to_list(F.col("h"), F.col("b")).alias("content"))
+
+
+@query()
+def embed_documents(spark, sf_dir):
+    rows = chunking.chunk(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return models.embedder()(rows, "content").select("doc_id", "chunk_number", "embedding")
+
+
+@query()
+def retrieve_pipeline(spark, sf_dir):
+    """Every benchmark item as a query against all chunks of all documents, one source a collection."""
+    embed = models.embedder()
+    rows = chunking.chunk(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select((F.col("doc_id") * 100_000 + F.col("chunk_number")).alias("chunk_id"), F.col("source").alias("resource"), F.col("doc_id").cast("string").alias("mongo_id"), "content")
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return ranking.retrieve(embed(rows, "content"), asked, embed, models.overlap_reranker).select("query_id", "final_rank", "resource", "mongo_id", "score")
+
+
+@query()
+def sections_from_html(spark, sf_dir):
+    return html.page_sections(read(spark, sf_dir, "pages"))

@@ -1,0 +1,163 @@
+"""HTML to text and sections with the standard library's parser, in Arrow batches; unclosed tags are tolerated."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftwell.session import ship
+
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+DROPPED = frozenset("script style noscript iframe footer img".split())
+BLOCK = frozenset("p div section article ul ol table tr h1 h2 h3 h4 h5 h6 header nav main body".split())
+#: What an open element of the first kind ends at.
+CLOSES = {"p": BLOCK | {"li"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+
+
+class Node:
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
+        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+
+    def walk(self) -> Iterator[Node]:
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+
+    def text(self) -> str:
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+            elif n.tag not in DROPPED:
+                stack += reversed(n.children)
+        return "".join(out)
+
+
+class Tree(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Node("", {}, None)
+
+    def handle_starttag(self, tag, attrs):
+        while self.at.tag in CLOSES and tag in CLOSES[self.at.tag]:
+            self.at = self.at.parent
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
+        self.at.children.append(node)
+        if tag not in VOID:
+            self.at = node
+
+    def handle_endtag(self, tag):
+        n = self.at
+        while n.parent is not None and n.tag != tag:
+            n = n.parent
+        if n.parent is not None:
+            self.at = n.parent
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def parse(html: str) -> Node:
+    t = Tree()
+    t.feed(html or "")
+    t.close()
+    return t.root
+
+
+def markdown(node: Node) -> str:
+    """Headings, lists, links, tables as nested lists, paragraphs; dropped elements leave nothing."""
+    inner = lambda n: "".join(c if isinstance(c, str) else markdown(c) for c in n.children)
+    tag = node.tag
+    if tag in DROPPED:
+        return ""
+    if re.fullmatch("h[1-6]", tag):
+        title = " ".join(inner(node).split())
+        return f"\n\n{'#' * int(tag[1])} {title}\n\n" if title else ""
+    if tag == "br":
+        return "\n"
+    if tag == "li":
+        return f"\n- {inner(node).strip()}"
+    if tag == "a" and node.attrs.get("href"):
+        return f"[{inner(node).strip()}]({node.attrs['href']})"
+    if tag in ("b", "strong"):
+        return f"**{inner(node).strip()}**" if inner(node).strip() else ""
+    if tag == "table":
+        return table_list(node)
+    return f"\n\n{inner(node)}\n\n" if tag in BLOCK else inner(node)
+
+
+def table_list(table: Node) -> str:
+    """Rows below the first as items, their other cells beneath under the first row's names; extra cells keep no name."""
+    rows = [[" ".join(c.text().split()) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")] for r in table.walk() if r.tag == "tr"]
+    rows = [r for r in rows if r]
+    if len(rows) < 2:
+        return "\n".join(f"- {c}" for r in rows for c in r)
+    head, out = rows[0], ["\n"]
+    for r in rows[1:]:
+        out.append(f"- {r[0]}")
+        out += [f"\t- {head[i]}: {c}" if i < len(head) else f"\t- {c}" for i, c in enumerate(r[1:], 1) if c]
+    return "\n".join(out) + "\n"
+
+
+def tidy(text: str) -> str:
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*(?=\n)", "\n", text)).strip()
+
+
+def sections(html: str, heading: str = "h2") -> list[tuple[str, str, str]]:
+    """(anchor, title, text) of each stretch between headings; a page without any is one section under its h1 or title.
+
+    Of equal titles the later one stays; sections without text are left out.
+    """
+    root = parse(html)
+    body = next((n for n in root.walk() if n.tag == "body"), root)
+    heads = [n for n in body.walk() if n.tag == heading]
+    if not heads:
+        title = next((" ".join(n.text().split()) for t in ("h1", "title") for n in root.walk() if n.tag == t), "")
+        text = tidy(markdown(body))
+        return [("", title, text)] if text else []
+    found: dict[str, tuple[str, str, str]] = {}
+    parts, current = {}, None
+
+    def visit(n: Node) -> None:
+        nonlocal current
+        for c in n.children:
+            if isinstance(c, Node) and c.tag == heading:
+                current = c
+                parts[id(c)] = []
+            elif isinstance(c, Node) and any(x.tag == heading for x in c.walk()):
+                visit(c)
+            elif current is not None:
+                parts[id(current)].append(c if isinstance(c, str) else markdown(c))
+
+    visit(body)
+    for h in heads:
+        title, text = " ".join(h.text().split()), tidy("".join(parts.get(id(h), [])))
+        if text:
+            found.pop(title, None)
+            found[title] = (h.attrs.get("id") or (h.parent.attrs.get("id", "") if h.parent else ""), title, text)
+    return list(found.values())
+
+
+def page_sections(pages: DataFrame, heading: str = "h2") -> DataFrame:
+    """(page_id, section, anchor, title, content) of every page; a page that cannot be parsed gives no rows."""
+    ship(pages.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
+                try:
+                    rows += [(page, k, *s) for k, s in enumerate(sections(html, heading))]
+                except (ValueError, RecursionError):
+                    continue
+            yield pd.DataFrame(rows, columns=["page_id", "section", "anchor", "title", "content"])
+
+    return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(run, "page_id long, section int, anchor string, title string, content string")
