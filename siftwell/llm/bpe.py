@@ -26,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.llm.common import small_batches
 from siftwell.llm.wordhash import WordTable, code_points, pattern_pieces, span_hashes, spread
@@ -331,7 +332,7 @@ def _is_whole(token: bytes) -> bool:
 def token_ids(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``df`` with the ids of each text as an array column."""
     ship(df.sparkSession)
-    schema = df.drop(ids_col).schema.add(ids_col, "array<int>")
+    schema = df.drop(ids_col).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(ranks_path)
