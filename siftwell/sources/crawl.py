@@ -7,6 +7,7 @@ from urllib.parse import urldefrag, urljoin
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.text import slug
 from siftwell.session import ship, written
@@ -18,7 +19,7 @@ def link_edges(pages: DataFrame) -> DataFrame:
     return found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, href: pd.Series) -> pd.Series:
     """An href against its page's url; null where it cannot be resolved."""
 
@@ -47,7 +48,7 @@ def internal_links(pages: DataFrame, domain: str | None = None) -> DataFrame:
     return kept.select("page_id", "target", F.concat(slug(path), F.lit(".md")).alias("file")).distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_fragment(url: pd.Series) -> pd.Series:
     return url.map(lambda u: urldefrag(u)[0], na_action="ignore")
 
