@@ -6,9 +6,11 @@ share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, so
 
 1. each fragment counts, over all documents, how many different sets hold each of its shingles;
 2. each set keeps of its prefix what other sets hold too (most sets keep nothing and are done);
-3. sets that share a kept shingle meet: a bucket contributes one star, not its pairs, and stars join to groups;
-4. groups are compared in cells of at most two blocks of sets. A cell cuts its shingles into fragments, counts partial
-   overlaps in each as a product of incidence matrices, and sums them per pair; links leave as a spanning forest.
+3. sets that share a kept shingle meet, if sizes and places allow a link. A bucket of more than ``LARGE`` sets gives a chain
+   instead of pairs, and chains join to groups;
+4. the pairs' sets are cut into fragments; each counts the partial overlaps of all pairs, and these are summed per pair;
+5. groups are compared in cells of at most two blocks of sets: a cell cuts its shingles into fragments, counts partial overlaps
+   in each as a product of incidence matrices, and sums them; links leave as a spanning forest.
 
 Equal sets are one record from step 1 on. No step caps partners or drops frequent shingles: a large group only becomes
 more cells. Nothing that grows with the corpus goes to the driver but counts.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import small_batches, written
 from siftwell.llm.graph import components
-from siftwell.llm.wordhash import code_points, lowered, mixed, space_words, span_hashes
+from siftwell.llm.wordhash import code_points, lowered, mixed, space_words, span_hashes, spread
 from siftwell.session import ship
 
 #: Words a shingle, and the least similarity in hundredths.
@@ -38,7 +40,10 @@ PERCENT = 80
 #: The share of the hash space that comes first in the order, and its end.
 FRONT = 0.25
 _FRONT_END = np.uint64(int(FRONT * 2**64))
-BLOCK = 2048
+#: Sets a block of a group, and sets of a bucket above which it becomes a chain instead of pairs.
+BLOCK, LARGE = 2048, 256
+#: Rows of ids that may be broadcast: 24 bytes each, so 24 MB.
+MOST_SENT = 1_000_000
 _COLUMNS = 4096
 
 
@@ -149,8 +154,8 @@ def _shared(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
 
 
 def _prefixes(sets: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket of sets: the shared part of each prefix."""
-    empty = pd.DataFrame({"h": np.zeros(0, np.int64), "rid": np.zeros(0, np.int64)})
+    """Of one bucket of sets: the shared part of each prefix, with each entry's place in the set's order (or a lower one)."""
+    empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("h", "rid", "n", "place")})
     if not len(entries) or not len(sets):
         return empty
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in entries["hashes"]])
@@ -174,21 +179,67 @@ def _prefixes(sets: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     shared_front = np.add.reduceat((~back).astype(np.int64), begin)[group]
     place = np.arange(len(h)) - begin[group]
     # entries that no other set holds come before these
-    keep = back | (place < p - (front - shared_front))
-    return pd.DataFrame({"h": h[keep].view(np.int64), "rid": rid[keep]})
+    at = front - shared_front + place
+    keep = back | (at < p)
+    return pd.DataFrame({"h": h[keep].view(np.int64), "rid": rid[keep], "n": n[keep], "place": at[keep]})
 
 
-def _stars(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one fragment of prefix entries: each set with the least set that it is joined to through the fragment's shingles."""
-    rids, node = np.unique(pdf["rid"].to_numpy(), return_inverse=True)
-    h = pdf["h"].to_numpy()
-    order = np.lexsort((node, h))
-    h, node = h[order], node[order]
-    first = np.r_[True, h[1:] != h[:-1]]
-    lead = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-    root = _joined(len(rids), node, lead)
-    out = root != np.arange(len(rids))
-    return pd.DataFrame({"u": rids[out], "v": rids[root[out]]})
+def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one fragment of prefix entries: pairs of sets that can be linked (hot False), and chains through large buckets (hot True).
+
+    A linked pair passes the test at its first common entry: what follows there in the shorter rest suffices for the overlap.
+    """
+    h, rid, n, place = (pdf[c].to_numpy() for c in ("h", "rid", "n", "place"))
+    order = np.lexsort((rid, n, h))
+    h, rid, n, rest = h[order], rid[order], n[order], (n - place)[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    size = np.diff(np.r_[first, len(h)])
+    pairs = []
+    for m in np.unique(size[(size > 1) & (size <= LARGE)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        begins = first[size == m]
+        for part in np.array_split(begins, -(-len(begins) * len(i) // 1_000_000)):
+            x, y = (part[:, None] + i[None, :]).ravel(), (part[:, None] + j[None, :]).ravel()
+            ok = (100 * n[x] >= PERCENT * n[y]) & ((100 + PERCENT) * np.minimum(rest[x], rest[y]) >= PERCENT * (n[x] + n[y]))
+            pairs.append(np.stack([x[ok], y[ok]]))
+    chains = [np.zeros((2, 0), np.int64)]
+    for a, m in zip(first[size > LARGE].tolist(), size[size > LARGE].tolist(), strict=True):
+        x = np.arange(a, a + m - 1)
+        x = x[100 * n[x] >= PERCENT * n[x + 1]]  # in order of size: sets of linkable sizes are joined through those between
+        chains.append(np.stack([x, x + 1]))
+    out = []
+    for hot, found in ((False, pairs), (True, chains)):
+        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        low = rid[x] < rid[y]
+        out.append(pd.DataFrame({"u": np.where(low, rid[x], rid[y]), "nu": np.where(low, n[x], n[y]), "v": np.where(low, rid[y], rid[x]), "nv": np.where(low, n[y], n[x]), "hot": hot}).drop_duplicates())
+    return pd.concat(out)
+
+
+def _partial(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one fragment: how many of its shingles the two sets of each pair share."""
+    empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("u", "v", "nu", "nv", "shared")})
+    if not len(sets) or not len(pairs):
+        return empty
+    sets = sets.drop_duplicates("rid").sort_values("rid")
+    rids = sets["rid"].to_numpy()
+    held = [np.frombuffer(x, np.uint64) for x in sets["found"]]
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    begin = np.cumsum(size) - size
+    known, code = np.unique(np.concatenate(held), return_inverse=True)
+    code = code.astype(np.int64)
+    pairs = pairs[np.isin(pairs["u"], rids) & np.isin(pairs["v"], rids)]
+    u, v = np.searchsorted(rids, pairs["u"].to_numpy()), np.searchsorted(rids, pairs["v"].to_numpy())
+    shared = np.zeros(len(pairs), np.int64)
+    ends = np.cumsum(size[u] + size[v])
+    for part in np.split(np.arange(len(u)), np.searchsorted(ends, np.arange(2_000_000, int(ends[-1]) if len(ends) else 0, 2_000_000))):
+        if len(part):
+            keys = [code[spread(begin[w[part]], size[w[part]])] + np.repeat(np.arange(len(part)), size[w[part]]) * len(known) for w in (u, v)]
+            at = np.searchsorted(keys[0], keys[1])
+            same = (at < len(keys[0])) & (keys[0][np.minimum(at, len(keys[0]) - 1)] == keys[1]) if len(keys[0]) else np.zeros(len(keys[1]), bool)
+            shared[part] = np.bincount(keys[1][same] // len(known), minlength=len(part))
+    out = pairs[["u", "v", "nu", "nv"]].copy()
+    out["shared"] = shared
+    return out[out["shared"] > 0]
 
 
 def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,7 +303,7 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """``wanted`` (doc_id, rid, ...) with each record's sorted hashes."""
     schema = wanted.drop("doc_id").schema.add("found", "binary")
 
@@ -264,7 +315,28 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             pdf["found"] = [x.tobytes() for x in found]
             yield pdf.loc[same, schema.names]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id").mapInPandas(run, schema)
+    # up to MOST_SENT rows of three numbers are sent to every executor; more are joined by a shuffle
+    chosen = F.broadcast(wanted) if n_wanted <= MOST_SENT else wanted
+    return docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").mapInPandas(run, schema)
+
+
+def _cut(sets: DataFrame, n_cuts: int) -> DataFrame:
+    """(cut, rid, found): each set's hashes by fragment."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rid, found in zip(pdf["rid"], pdf["found"], strict=True):
+                h = np.frombuffer(found, np.uint64)
+                bounds = np.searchsorted(h, _bounds(n_cuts))
+                rows += [(k, rid, h[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(h)], strict=True)) if b > a]
+            yield pd.DataFrame(rows, columns=["cut", "rid", "found"])
+
+    return sets.select("rid", "found").mapInPandas(run, "cut int, rid long, found binary")
+
+
+def _bounds(n_cuts: int) -> np.ndarray:
+    return np.array([(k << 64) // n_cuts for k in range(1, n_cuts)], np.uint64)
 
 
 def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK) -> DataFrame:
@@ -276,17 +348,30 @@ def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK) -> Da
 
     shared = seen.where(F.col("fragment").isNotNull()).select("fragment", "hashes", "owners", "names").groupBy("fragment").applyInPandas(lambda pdf: _shared(pdf, n), "bucket int, hashes binary, rids binary, held binary")
     sets = classes.select("rid", "n", "front", F.pmod("rid", F.lit(n)).cast("int").alias("bucket"))
-    prefixes = sets.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(_prefixes, "h long, rid long")
-    stars = prefixes.groupBy(F.pmod("h", F.lit(n)).alias("f")).applyInPandas(_stars, "u long, v long")
-    groups = written(components(stars).select(F.col("node").alias("rid"), F.col("root").alias("group")), "groups")
+    prefixes = sets.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(_prefixes, "h long, rid long, n long, place long")
+    met = written(prefixes.groupBy(F.pmod("h", F.lit(n)).alias("f")).applyInPandas(_meetings, "u long, nu long, v long, nv long, hot boolean").distinct(), "pairs")
+    pairs, chains = met.where(~F.col("hot")).drop("hot"), met.where("hot").select("u", "v")
 
+    groups = components(chains) if chains.head(1) else chains.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    groups = groups.select(F.col("node").alias("rid"), F.col("root").alias("group"))
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "group").join(classes.select("rid", F.col("least").alias("doc_id")), "rid").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    found = _sets_of(docs, placed)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    cells = found.select("rid", "group", "block", "found", F.explode(every).alias("other")).select("rid", "group", "block", "found", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    links = cells.groupBy(F.pmod(F.xxhash64("group", "one", "two"), F.lit(4 * n)).alias("task")).applyInPandas(_cells, "u long, v long")
-    roots = components(links).select(F.col("node").alias("rid"), "root")
+    paired = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+    wanted = paired.join(groups.join(sizes, "group"), "rid", "full").join(classes.select("rid", "n", F.col("least").alias("doc_id")), "rid")
+    wanted = written(wanted.select("doc_id", "rid", "n", "group", "blocks"), "wanted")
+    n_wanted, n_shingles = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = written(_sets_of(docs, wanted, n_wanted), "sets")
+
+    # pairs: partial overlaps by fragment, summed
+    n_cuts = max(8, -(-n_shingles // 4_000_000))
+    each_cut = pairs.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(n_cuts - 1))))
+    partial = _cut(found, n_cuts).groupBy("cut").cogroup(each_cut.groupBy("cut")).applyInPandas(_partial, "u long, v long, nu long, nv long, shared long")
+    summed = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("o"))
+    links = summed.where(100 * F.col("o") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v")
+    # groups: cells of two blocks at most, compared whole
+    grouped = found.where(F.col("group").isNotNull()).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    cells = grouped.select("rid", "group", "block", "found", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("rid", "group", "block", "found", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    inside = cells.groupBy(F.pmod(F.xxhash64("group", "one", "two"), F.lit(4 * n)).alias("task")).applyInPandas(_cells, "u long, v long")
+    roots = components(links.unionByName(inside)).select(F.col("node").alias("rid"), "root")
 
     linked_to = classes.join(roots, "rid").groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("rid", "component_id")
     named = classes.join(linked_to, "rid", "left").select("rid", F.coalesce("component_id", "least").alias("component_id"))

@@ -18,12 +18,11 @@ with a null id teach nothing. Columns other than id and text are not read.
 from __future__ import annotations
 
 import functools
-import hashlib
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,17 +182,11 @@ def predict(docs: DataFrame, texts: dict[str, list[str]], keep: list[str] | None
     source = docs.select(*[F.col(k) for k in keep], F.col("text").alias("_text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(packed)
-        for pdf in batches:
-            langs, scores = model.predict([t or "" for t in pdf["_text"]])
-            out = pdf.drop(columns="_text")
-            out["lang_pred"], out["score"] = langs, scores
-            yield out
+        for batch in batches:
+            langs, scores = model.predict([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
+            kept = batch.columns[:-1]  # the kept columns go through untouched
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
-    return source.mapInPandas(run, schema)
-
-
-def digest_of(texts: dict[str, list[str]]) -> str:
-    """A name for a training text, for logs."""
-    return hashlib.sha256(pickle.dumps(sorted(texts.items()))).hexdigest()[:12]
+    return source.mapInArrow(run, schema)
