@@ -126,7 +126,9 @@ def scan(docs: DataFrame, n_fragments: int) -> DataFrame:
 
 def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[slice]]:
     """The different keys and where each lies."""
-    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+    if not len(sorted_keys):
+        return [], []
+    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
     return sorted_keys[first].tolist(), [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sorted_keys)], strict=True)]
 
 
