@@ -61,6 +61,15 @@ def test_knn_leaves_out_zero_and_null_vectors(spark):
         ranking.knn(e, e, 0)
 
 
+def test_knn_in_blocks_gives_the_same(spark, sf_dir, monkeypatch):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = e.where("vec_id % 20 = 0")
+    once = ranking.knn(e, asked, 5, source_col="label").orderBy("query_id", "source", "rank").collect()
+    monkeypatch.setattr(ranking, "MOST_BROADCAST", 7)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 100)
+    assert ranking.knn(e, asked, 5, source_col="label").orderBy("query_id", "source", "rank").collect() == once
+
+
 CONTENTS = "course_id long, module_id long, contents array<struct<type:string,filename:string,timecreated:long,timemodified:long,uploaded:boolean>>"
 
 
