@@ -29,7 +29,7 @@ from siftwell.llm.common import is_held_out, small_batches
 from siftwell.llm.wordhash import LETTER, NUMBER, WordTable, char_classes, code_points, mixed, span_hashes, spread, words_between
 from siftwell.session import ship
 
-WINDOW, BUCKETS, DIM, MOST_WINDOWS = 3, 1 << 16, 4, 100
+WINDOW, BUCKETS, DIM, MOST_WINDOWS = 3, 1 << 16, 4, 150
 THRESHOLD = 0.7
 
 
@@ -72,10 +72,10 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) if len(counts) else values[:0]
 
 
-def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35, rate: float = 0.12, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35, rate: float = 0.12, lift: float = 2.0, peculiarity: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float]:
     """One number for each n-gram bucket, and a bias: what the jointly trained embeddings and softmax come to."""
     if not any(toxic) or all(toxic):
-        return np.zeros(BUCKETS), -1e9
+        return np.zeros(BUCKETS), -np.inf
     random = np.random.default_rng(seed)
     cp, starts, lengths, at = words_of(texts)
     # windows as (first word, number of words, document)
@@ -102,18 +102,21 @@ def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35,
     # which window of a toxic document comes first: the one whose words have the n-grams most peculiar to toxic documents
     pairs = np.unique(np.repeat(doc, count) * len(place) + word)
     df = [np.bincount(pairs[toxic_of[pairs // len(place)] == k] % len(place), minlength=len(place)) for k in (0, 1)]
-    odds = [np.log((np.bincount(gram, n[of_word], len(used)) + 0.5) / (toxic_of == k).sum()) for k, n in enumerate(df)]
+    # (at equal numbers of both kinds, with enough smoothing that a rare n-gram is not peculiar)
+    odds = [np.log(np.bincount(gram, n[of_word], len(used)) * toxic_of.sum() / (toxic_of == k).sum() + 1 + 0.015 * toxic_of.sum()) for k, n in enumerate(df)]
     peculiar = (sums((odds[1] - odds[0])[gram], n_grams) * per_word)[word]
     lead = np.full(len(first), -np.inf)
     np.maximum.at(lead, np.repeat(np.arange(len(first)), count), peculiar)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out, bias)]
-    order, step = lead, 0
+    order, step = lead - peculiarity, 0
     for _phase in range(phases):
-        # one window stands for each toxic document, against every window of the others
+        # for a toxic document stands its most peculiar window, later the one that the model finds most toxic,
+        # if it is so at all; against them every window of the others
         top = np.full(len(texts), -np.inf)
         np.maximum.at(top, doc, order)
-        taken = np.flatnonzero((label == 0) | (order == top[doc]))
+        taken = np.flatnonzero((label == 0) | ((order > 0) & (order == top[doc])))
         y, n_words, at_word = label[taken], count[taken], word[spread((np.cumsum(count) - count)[taken], count[taken])]
+        weight = np.where(y > 0, lift, 1.0)
         seen, at_word = np.unique(at_word, return_inverse=True)
         its = gram[spread((np.cumsum(n_grams) - n_grams)[seen], n_grams[seen])]
         n_its, inverse = n_grams[seen], per_word[seen][:, None]
@@ -121,7 +124,7 @@ def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35,
         for step in range(step + 1, step + 1 + rounds):
             mean = sums((sums(table[its], n_its) * inverse)[at_word], n_words) / n_words[:, None]
             logits = mean @ out + bias
-            slope = (1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -50, 50))) - y) / len(texts)
+            slope = (1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -50, 50))) - y) * weight / len(texts)
             both = np.c_[-slope, slope]
             d_mean = (both @ out.T) / n_words[:, None]
             d_word = np.stack([np.bincount(at_word, d_mean[word_window, k], len(seen)) for k in range(DIM)], axis=1) * inverse
@@ -133,7 +136,7 @@ def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35,
                 v += 0.01 * d * d
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
         each = (sums((table @ (out[:, 1] - out[:, 0]))[gram], n_grams) * per_word)[word]
-        order = sums(each, count) / count
+        order = sums(each, count) / count + bias[1] - bias[0]
     value = np.zeros(BUCKETS)
     value[used] = table @ (out[:, 1] - out[:, 0])
     return value, float(bias[1] - bias[0])
@@ -171,7 +174,7 @@ class Scorer:
             count = np.minimum(WINDOW, n_words[doc] - place)
             top = np.full(b - a, -np.inf)
             np.maximum.at(top, doc, sums(each, count) / count)
-            out[a:b] = np.where(n_words > 0, 1 / (1 + np.exp(np.clip(-(top + self.bias), -700, 700))), 0.0)
+            out[a:b] = np.where((n_words > 0) & np.isfinite(self.bias), 1 / (1 + np.exp(np.clip(-(top + self.bias), -700, 700))), 0.0)
         return out
 
 
