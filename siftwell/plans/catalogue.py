@@ -185,7 +185,7 @@ def bm25_top10(spark, sf_dir):
 
 
 @query(f"""
-SELECT l.doc_id AS id, 0.5 + 0.25 * l.quality AS score, d.source AS display_name, 'https://kb.example.org/' || d.doc_id AS url,
+SELECT l.doc_id AS id, CAST(0.5 + 0.25 * l.quality AS DOUBLE) AS score, d.source AS display_name, 'https://kb.example.org/' || d.doc_id AS url,
   CASE WHEN len(x) <= 2 THEN '' ELSE regexp_replace(array_to_string(x[3:], chr(10)), '^\\n+|\\n+$', '', 'g') END AS preview_text
 FROM labels l JOIN (SELECT *, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS x FROM documents) d USING (doc_id)
 """)
