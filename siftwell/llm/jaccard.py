@@ -209,12 +209,15 @@ def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.arange(a, a + m - 1)
         x = x[100 * n[x] >= PERCENT * n[x + 1]]  # in order of size: sets of linkable sizes are joined through those between
         chains.append(np.stack([x, x + 1]))
-    out = []
-    for hot, found in ((False, pairs), (True, chains)):
-        x, y = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        low = rid[x] < rid[y]
-        out.append(pd.DataFrame({"u": np.where(low, rid[x], rid[y]), "nu": np.where(low, n[x], n[y]), "v": np.where(low, rid[y], rid[x]), "nv": np.where(low, n[y], n[x]), "hot": hot}).drop_duplicates())
-    return pd.concat(out)
+    x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    low = rid[x] < rid[y]
+    met = pd.DataFrame({"u": np.where(low, rid[x], rid[y]), "nu": np.where(low, n[x], n[y]), "v": np.where(low, rid[y], rid[x]), "nv": np.where(low, n[y], n[x]), "hot": False}).drop_duplicates()
+    # the chains of all large buckets here come to one link a set, to the least set that it hangs together with
+    x, y = np.concatenate(chains, axis=1)
+    rids, node = np.unique(np.r_[rid[x], rid[y]], return_inverse=True)
+    root = _joined(len(rids), node[: len(x)], node[len(x) :])
+    hung = np.flatnonzero(root != np.arange(len(rids)))
+    return pd.concat([met, pd.DataFrame({"u": rids[root[hung]], "nu": 0, "v": rids[hung], "nv": 0, "hot": True})])
 
 
 def _partial(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
