@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(doc_id: str | Column = "doc_id") -> Column:
-    """crc32 of the id's decimal text, modulo 3; null ids count as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % 3
+    """crc32 of the id's decimal text, modulo 3; null for null ids, which are not held out."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 3
 
 
 def is_held_out(doc_id: str | Column = "doc_id") -> Column:
