@@ -88,7 +88,8 @@ def markdown(node: Node) -> str:
     if tag == "a" and node.attrs.get("href"):
         return f"[{inner(node).strip()}]({node.attrs['href']})"
     if tag in ("b", "strong"):
-        return f"**{inner(node).strip()}**" if inner(node).strip() else ""
+        bold = inner(node).strip()  # once: unclosed tags nest deep
+        return f"**{bold}**" if bold else ""
     if tag == "table":
         return table_list(node)
     return f"\n\n{inner(node)}\n\n" if tag in BLOCK else inner(node)
