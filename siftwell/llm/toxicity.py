@@ -2,7 +2,7 @@
 
 A word is the average of the embeddings of its hashed character n-grams (3 to 5 and the whole, with word ends), a window of ``WINDOW``
 words the average of its words, and the softmax of a linear map of that is the window's score; misspelt and inflected words share
-n-grams with known ones. A document scores as its most toxic window, so length does not dilute. Labels are of documents, so one
+n-grams with known ones. Windows slide by one word, so a phrase counts alike wherever it stands. A document scores as its most toxic window, so length does not dilute. Labels are of documents, so one
 window stands for each toxic document in training: first the one with the n-grams most peculiar to toxic documents, later
 the one that the model itself finds most toxic.
 
@@ -72,16 +72,22 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) if len(counts) else values[:0]
 
 
+def windows_of(n_words: np.ndarray) -> np.ndarray:
+    """How many windows texts of so many words have: one begins at each word that ``WINDOW`` words follow or are; a shorter text is one."""
+    return np.minimum(n_words, np.maximum(1, n_words - WINDOW + 1))
+
+
 def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35, rate: float = 0.12, lift: float = 2.0, peculiarity: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float]:
     """One number for each n-gram bucket, and a bias: what the jointly trained embeddings and softmax come to."""
     if not any(toxic) or all(toxic):
         return np.zeros(BUCKETS), -np.inf
     random = np.random.default_rng(seed)
     cp, starts, lengths, at = words_of(texts)
-    # windows as (first word, number of words, document)
+    # windows as (first word, number of words, document); they slide by one word
+    n_windows = windows_of(np.diff(at))
     first, count, doc = [], [], []
     for d in range(len(texts)):
-        begins = np.arange(at[d], at[d + 1], WINDOW)
+        begins = np.arange(at[d], at[d] + n_windows[d])
         if len(begins) > MOST_WINDOWS and not toxic[d]:
             begins = np.sort(random.choice(begins, MOST_WINDOWS, replace=False))
         first.append(begins)
@@ -168,12 +174,16 @@ class Scorer:
             rows = self.table.resolve(span_hashes(cp, starts, lengths), learn, self._forget)
             each = self.words[rows]
             n_words = np.diff(at)
-            n_windows = -(-n_words // WINDOW)
+            n_windows = windows_of(n_words)
             doc = np.repeat(np.arange(b - a), n_windows)
-            place = (np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * WINDOW
-            count = np.minimum(WINDOW, n_words[doc] - place)
+            first = spread(at[:-1], n_windows)
+            count = np.minimum(WINDOW, n_words[doc])
+            total = each[first]
+            for k in range(1, WINDOW):
+                inside = np.flatnonzero(count > k)
+                total[inside] += each[first[inside] + k]
             top = np.full(b - a, -np.inf)
-            np.maximum.at(top, doc, sums(each, count) / count)
+            np.maximum.at(top, doc, total / count)
             out[a:b] = np.where((n_words > 0) & np.isfinite(self.bias), 1 / (1 + np.exp(np.clip(-(top + self.bias), -700, 700))), 0.0)
         return out
 

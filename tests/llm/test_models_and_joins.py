@@ -83,6 +83,15 @@ def test_toxicity_on_misspellings_and_odd_texts(odd_docs, no_docs):
     assert toxicity.Scorer(*toxicity.train(["a"], [0])).score(["a b"])[0] == 0
 
 
+def test_toxic_phrase_counts_alike_at_every_place():
+    texts = [f"word{i} you are an idiot and a moron ok" for i in range(40)] + [f"word{i} you are an honest and good one ok" for i in range(80)]
+    scorer = toxicity.Scorer(*toxicity.train(texts, [1] * 40 + [0] * 80))
+    for phrase in ("idiot", "idiot moron", "idiot moron idiot"):
+        s = scorer.score([" ".join(["good"] * k + [phrase] + ["good"] * 9) for k in range(3, 9)])
+        assert s[0] > scorer.score(["good " * 12])[0] and (s == s[0]).all()
+    assert scorer.score(["moron", "idiot moron"]).min() > scorer.score(["good"])[0]
+
+
 URLS = ["http://A.Com/x", "https://example.com/en/1?q", "https://www.example.com/en/", "http://x.www.example.com/en/a#b", "http://a.net/es/x", "http://a.net/en/", "http://net/fr/", "http://com", "notcom/x", None, "", "x://casino-win.org/play", "http://h?q/p", "a://b://c/d", "http://excom/en/", "http://example.com:80/en/"]
 
 
