@@ -3,7 +3,8 @@
 Texts become ids once, in the scan; from then on only (id, piece, length, checksum) rows move. Pieces are dealt by a hash
 to blocks of about ``block_docs`` documents. A block starts from best fit in falling length; then the emptiest underfull
 bin gives what it holds to others: moves, one-for-one, two-for-one and one-for-two exchanges, always the one that fills
-the other bin most, so the sum of squared fills grows with each step, until the bin is empty or no step is left.
+the other bin most, so the sum of squared fills grows with each step, until the bin is empty or no step is left. A block is
+done when it has the least possible number of bins or no underfull bin has a step left.
 A block's last bins are not shared with other blocks: at most about one sequence a block is lost to that.
 
 Null texts count as empty: one piece that holds just the end id. Longer documents than a sequence are cut so that only
@@ -14,6 +15,7 @@ are not read. Equal lengths are placed in order of id and piece.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,11 @@ COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(json_path: str) -> Encoder:
+def tokenizer(json_path: str) -> WithAdded:
     """The ids that the public ``tokenizers`` file gives, one encoder a worker process.
 
     The file's own vocabulary and merge ranks are read; a new piece goes through the merge loop of ``tiktoken``, which
-    gives the same ids for the same ranks, and known pieces come from the table.
+    gives the same ids for the same ranks, and known pieces come from the table. The file's added tokens are cut out first.
     """
     import json
 
@@ -40,11 +42,32 @@ def tokenizer(json_path: str) -> Encoder:
     import tiktoken
 
     with open(json_path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {x["content"]: x["id"] for x in file["added_tokens"]}
+    if any(x[flag] for x in file["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands around them are not supported")
     byte_of = {c: b for b, c in _byte_letters().items()}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if all(c in byte_of for c in t) and t != "<|endoftext|>"}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if all(c in byte_of for c in t) and t not in added}
     plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Encoder(ranks, plain._encode_single_piece)
+    return WithAdded(Encoder(ranks, plain._encode_single_piece), added)
+
+
+class WithAdded:
+    """An encoder that gives added tokens their ids wherever their contents stand, the longest first, and encodes what lies between."""
+
+    def __init__(self, plain: Encoder, added: dict[str, int]):
+        self.plain, self.added = plain, added
+        self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        cut = [self.pattern.split(t) if any(x in t for x in self.added) else [t] for t in texts]
+        between = self.plain.encode([part for parts in cut for part in parts[::2]])
+        for parts in cut:
+            ids = [next(between)]
+            for token in parts[1::2]:
+                ids += [np.array([self.added[token]], np.uint32), next(between)]
+            yield np.concatenate(ids) if len(ids) > 1 else ids[0]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,7 +98,7 @@ def pieces(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(sizes: list[int], capacity: int, most_rounds: int = 20_000) -> list[list[int]]:
+def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """The bins, as lists of places in ``sizes``; every size is from 1 to ``capacity``."""
     bins: list[list[int]] = []
     room: list[int] = []
@@ -100,78 +123,87 @@ def pack(sizes: list[int], capacity: int, most_rounds: int = 20_000) -> list[lis
             free |= 1 << r
     least = -(-sum(sizes) // capacity)
     if len(bins) > least:
-        _improve(bins, room, sizes, capacity, least, most_rounds)
+        _improve(bins, room, sizes, capacity, least)
     return [b for b in bins if b]
 
 
 def _subsets(held: list[int], sizes: list[int], empty: bool):
-    """(total, places) of at most two pieces of a bin."""
-    if empty:
-        yield 0, ()
-    for k, i in enumerate(held):
-        yield sizes[i], (i,)
-        for j in held[:k]:
-            yield sizes[i] + sizes[j], (i, j)
-
-
-def _improve(bins: list[list[int]], room: list[int], sizes: list[int], capacity: int, least: int, most_rounds: int) -> None:
-    """Empties bins, emptiest first, by the exchange that raises the squared fill most."""
-    total, owner, what = [], [], []
-    place: list[list[int]] = [[] for _ in bins]
-
-    def enter(b: int) -> None:
-        for k in place[b]:
-            total_np[k] = capacity + 1  # no longer there
-        place[b] = []
-        for t, w in _subsets(bins[b], sizes, True):
-            place[b].append(len(total))
-            total.append(t)
-            owner.append(b)
-            what.append(w)
-
-    total_np = np.zeros(0, np.int32)
-    for b in range(len(bins)):
-        if room[b]:
-            enter(b)
-    total_np, owner_np, rooms = np.array(total, np.int32), np.array(owner, np.int32), np.array(room, np.int32)
-    count, failed, tried = len(bins), 0, set()
-    while count > least and failed < 16 and most_rounds > 0:
-        open_bins = [b for b in range(len(bins)) if bins[b] and room[b] and b not in tried]
-        if not open_bins:
+    """(total, places) of at most two pieces of a bin, one for each different total of as many pieces."""
+    found: dict[tuple[int, int], tuple[int, ...]] = {(0, 0): ()} if empty else {}
+    some, of_size = [], {}
+    for i in held:  # equal pieces are worth the same
+        of_size[sizes[i]] = of_size.get(sizes[i], 0) + 1
+        if of_size[sizes[i]] <= 2:
+            some.append(i)
+    for k, i in enumerate(some):
+        found.setdefault((sizes[i], 1), (i,))
+        for j in some[:k]:
+            found.setdefault((sizes[i] + sizes[j], 2), (i, j))
+    return [(t, w) for (t, _), w in found.items()]
+
+
+def _improve(bins: list[list[int]], room: list[int], sizes: list[int], capacity: int, least: int) -> None:
+    """Empties bins, emptiest first, by the exchange that raises the squared fill most, until no underfull bin has one left."""
+    gone = 2 * capacity + 1
+    total, owner, taken, what = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    rooms, seen = np.array(room, np.int64), np.zeros(len(bins), np.int64)  # seen: so many entries were tried since the bin changed
+    count = len(bins)
+
+    def enter(some: list[int]) -> None:
+        nonlocal total, owner, taken, what, seen
+        for b in some:
+            total[owner == b] = gone  # no longer there
+        if len(total) > 10_000 and 4 * int((total < gone).sum()) < len(total):
+            there = total < gone
+            seen = np.r_[0, np.cumsum(there)][seen]
+            what = [what[k] for k in np.flatnonzero(there).tolist()]
+            total, owner, taken = total[there], owner[there], taken[there]
+        new = [(t, b, len(w), w) for b in some if bins[b] for t, w in _subsets(bins[b], sizes, True)]
+        total, owner, taken = (np.r_[x, np.array([n[c] for n in new], np.int64)] for c, x in enumerate((total, owner, taken)))
+        what += [n[3] for n in new]
+
+    def exchange(e: int) -> tuple[int, int, tuple[int, ...]]:
+        """(gain, entry, what the bin gives), of entries that it has not tried yet; the gain is 0 if there is none."""
+        first, best = int(seen[e]), (0, -1, ())
+        t, o = total[first:], owner[first:]
+        key = t + rooms[o]  # the most that may be given for what is got
+        fits = (t < gone) & (o != e)
+        for n in (1, 2):
+            gives = [(a, w) for a, w in _subsets(bins[e], sizes, False) if len(w) == n]
+            at = np.flatnonzero(fits & (taken[first:] < 2) if n == 2 else fits)
+            if not gives or not len(at):
+                continue
+            low = np.full(capacity + 1, gone)
+            np.minimum.at(low, key[at], t[at])
+            # the other bin must get fuller than this one was, else squares would not grow
+            a = np.array([x for x, _ in gives])
+            reach = np.lib.stride_tricks.sliding_window_view(low, room[e])[a].min(axis=1)
+            k = int(np.argmax(a - reach))
+            if a[k] - reach[k] > best[0]:
+                hit = at[(t[at] == reach[k]) & (key[at] >= a[k]) & (key[at] < a[k] + room[e])]
+                best = (int(a[k] - reach[k]), first + int(hit[0]), gives[k][1])
+        return best
+
+    enter([b for b in range(len(bins)) if room[b]])
+    while count > least:
+        waiting = np.flatnonzero((rooms > 0) & (rooms < capacity) & (seen < len(total)))
+        if not len(waiting):
             break
-        e = max(open_bins, key=lambda b: (room[b], b))
-        tried.add(e)
-        while bins[e] and most_rounds > 0:
-            most_rounds -= 1
-            best = (0, -1, ())
-            for t, w in _subsets(bins[e], sizes, False):
-                gain = t - total_np
-                # the other bin must get fuller than this one was, else squares would not grow
-                ok = (gain > 0) & (gain <= rooms[owner_np]) & (owner_np != e) & (capacity - rooms[owner_np] + gain > capacity - room[e])
-                if len(w) == 2:
-                    ok &= np.fromiter((len(x) < 2 for x in what), bool, len(what))
-                k = int(np.argmax(np.where(ok, gain, 0)))
-                if ok[k] and gain[k] > best[0]:
-                    best = (int(gain[k]), k, w)
-            gain, k, gives = best
-            if k < 0:
+        e = int(waiting[len(waiting) - 1 - np.argmax(rooms[waiting][::-1])])
+        while bins[e]:
+            gain, k, gives = exchange(e)
+            if not gain:
+                seen[e] = len(total)
                 break
-            b, gets = owner[k], what[k]
+            b, gets = int(owner[k]), what[k]
             bins[e] = [i for i in bins[e] if i not in gives] + list(gets)
             bins[b] = [i for i in bins[b] if i not in gets] + list(gives)
             room[e], room[b] = room[e] + gain, room[b] - gain
             rooms[e], rooms[b] = room[e], room[b]
-            for x in (e, b):
-                n = len(total)
-                enter(x)
-                total_np, owner_np = np.r_[total_np, np.array(total[n:], np.int32)], np.r_[owner_np, np.array(owner[n:], np.int32)]
-        if bins[e]:
-            failed += 1
-        else:
-            count, failed = count - 1, 0
-            for k in place[e]:
-                total_np[k] = capacity + 1
-            place[e] = []
+            seen[e] = seen[b] = 0
+            enter([e, b])
+        if not bins[e]:
+            count -= 1
 
 
 def pack_pieces(cut: DataFrame, n_docs: int, capacity: int = 2048, block_docs: int = 4096) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -108,6 +109,27 @@ def test_pack_never_loses_and_swaps_help(seed):
     assert len(packing.pack([44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 10, 10], 100)) == 2
 
 
+def test_op2_added_tokens(spark):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n it's", "x<|endoftext|", "<|<|endoftext|>|>", "no marker", "", "é <|endoftext|>" * 1500]
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4") for i, x in enumerate(texts)}
+    assert ids[0].tolist() == [64, 220, 50256, 275, 0]
+    check_packing(rows, ids, 2048)
+    assert sum(r["length"] for r in rows) == sum(map(len, ids.values()))
+
+
+def test_pack_leaves_no_exchange():
+    pick = random.Random(3)
+    sizes = [pick.randint(300, 1000) for _ in range(400)]
+    bins = packing.pack(sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(400))
+    subsets = [[c for n in (0, 1, 2) for c in itertools.combinations([sizes[i] for i in b], n)] for b in bins]
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    left = [(e, o) for e, o in itertools.permutations(range(len(bins)), 2) if fills[e] < 2048 for x in subsets[e] for y in subsets[o] if len(x) + len(y) < 4 and 0 < sum(x) - sum(y) <= 2048 - fills[o] and fills[o] + sum(x) - sum(y) > fills[e]]
+    assert len(bins) == -(-sum(sizes) // 2048) or not left
+
+
 def test_op2_odd(odd_docs, no_docs):
     rows = packing.pack_documents(odd_docs, P.path("byte_bpe_50k.json")).collect()
     assert [r["length"] for r in rows if r["doc_id"] in (2, 3)] == [1, 1]
