@@ -1,7 +1,8 @@
-"""Secret scans (7): patterns propose spans; how many owners share a value tells copied examples from live credentials.
+"""Secret scans (7): patterns propose spans; how many owners and repositories share a value tells copied examples from live credentials.
 
 Each value is hashed; distinct (hash, owner) and (hash, repository) pairs are counted over the whole corpus. A value with at
-most ``most_owners`` owners looks live; one that more share is a copied example. The base kinds (assign, access, hex) always
+most ``most_owners`` owners and in at most ``most_repositories`` repositories looks live; one that is spread wider over either
+is a copied example, also where a single owner holds all its copies. ``counts`` has both numbers of every proposed span. The base kinds (assign, access, hex) always
 stay; the method adds spans of provider formats and of generic mixed tokens, where their value looks live and no base span
 covers them. Only hashes leave the scan, so values are never shuffled or stored.
 
@@ -100,24 +101,28 @@ def scan(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_
     return source.mapInPandas(run, f"row string, doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{_SPAN}>")
 
 
-def find(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = 2) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied)."""
+def find(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, counts).
+
+    ``counts`` has kind:start:end:owners:repositories of every proposed span, copied ones included.
+    """
     seen = written(scan(docs, owner_col, repository_col), "secrets")
     each = seen.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("s")).select("row", "owner", "repository", "s.*")
     # distinct pairs first, each summed within its task, then a count for each value
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = each.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    spread = owners.join(repositories, "hash").select("hash", (F.col("owners") <= most_owners).alias("live"), "owners", "repositories")
+    spread = owners.join(repositories, "hash").select("hash", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"), "owners", "repositories")
     kinds = F.array(*(F.lit(k) for k in KINDS))
     judged = (
         each.join(spread, "hash")
         .groupBy("row")
         .agg(
             F.sort_array(F.collect_list(F.when((F.col("kind") < N_BASE) | F.col("live"), F.struct("start", "kind", "end")))).alias("kept"),
+            F.sort_array(F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))).alias("all"),
             F.sum(F.col("live").cast("long")).alias("n_live"),
             F.sum((~F.col("live")).cast("long")).alias("n_copied"),
         )
     )
-    text = F.array_join(F.transform("kept", lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    text = lambda c, *more: F.coalesce(F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), *(x[k].cast("string") for k in ("start", "end", *more)))), ","), F.lit(""))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return seen.join(judged, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(text, F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
+    return seen.join(judged, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text("kept").alias("spans"), zero("n_live"), zero("n_copied"), text("all", "owners", "repositories").alias("counts"))

@@ -261,6 +261,14 @@ def test_op7_base_and_ownership(spark):
     assert got[20]["spans"] == "github:4:44,github:45:85" and got[20]["n_live"] == 2
 
 
+def test_op7_copies_within_one_source(spark):
+    example, live = "ghp_" + "Ab1" * 12, "ghp_" + "Zx9" * 12
+    rows = [(i, f"see {example}", "hot") for i in range(300)] + [(1000 + i, f"key {live}", "hot") for i in range(3)]
+    got = {r["doc_id"]: r for r in secrets.find(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {(r["spans"], r["n_live"], r["n_copied"], r["counts"]) for i, r in got.items() if i < 300} == {("", 0, 1, "github:4:44:1:300")}
+    assert {(r["spans"], r["n_live"], r["n_copied"], r["counts"]) for i, r in got.items() if i >= 1000} == {("github:4:44", 1, 0, "github:4:44:1:3")}
+
+
 def test_op7_odd(odd_docs, no_docs):
     assert secrets.find(odd_docs).count() == 10
     assert secrets.find(no_docs).count() == 0
