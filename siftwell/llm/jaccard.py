@@ -57,7 +57,7 @@ def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
         rolled = np.zeros(len(words), np.uint64)
         for k in range(WORDS):  # a shingle that reaches past its text's end is cut off below
             rolled = mixed(rolled + np.uint64(k + 1))
-            rolled[: len(words) - k] += words[k:]
+            rolled[: max(0, len(words) - k)] += words[k:]
         rolled = mixed(rolled)
         for i in range(b - a):
             first, last = at[i], at[i + 1]

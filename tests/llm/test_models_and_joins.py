@@ -206,6 +206,12 @@ def test_op4_groups_of_copies(spark, monkeypatch, large):
     assert joined(df, docs_a_fragment=40, block=32) == brute_links(rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_op4_few_words_in_all(spark, n):
+    docs = spark.createDataFrame([(1, "one two three four"[: [3, 7, 13, 18][n - 1]], "en", "s", 0)], DOC)
+    assert joined(docs) == {1: (1, 1)}
+
+
 def test_op4_odd(odd_docs, no_docs):
     got = jaccard.join(odd_docs).collect()
     assert len(got) == 10
