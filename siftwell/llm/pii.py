@@ -6,7 +6,8 @@ written without nested backtracking (possessive repeats; a match may begin only
 same matches and stays linear on long runs.
 
 The base kinds (email, ip, card, phone) always stay. The method adds ``iban`` (mod-97) and ``ssn`` (which needs context),
-where the score reaches ``least_score``. Null texts count as empty; an empty table gives no rows; other columns pass through.
+where the score reaches ``least_score``. Of what may follow the head of an ``iban``, as much is taken as its country's numbers have, or
+up to the last blank at which mod-97 passes where the country is not known; every head is tried that no earlier number covers. Null texts count as empty; an empty table gives no rows; other columns pass through.
 Positions are code points, ends exclusive; spans of different kinds may overlap. ``redacted`` replaces the union of spans.
 """
 
@@ -33,9 +34,21 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", "[0-9]\\.[0-9]+\\.[0-9]+\\.[0-9]", 0.6, ("ip", "host", "server", "address", "login", "adresse")),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "(?:[0-9][\\x20-]?){13}[0-9]", 0.8, ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", 0.7, ("phone", "tel", "call", "mobile", "fax", "telefon", "móvil")),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]", 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte"), False),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))", "[A-Z]{2}[0-9]{2}\\x20?[A-Z0-9]", 0.7, ("iban", "account", "bank", "konto", "cuenta", "compte"), False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, ("ssn", "social", "security"), False),
 )
+#: Characters of an account number by country (ISO 13616 registry), blanks aside.
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, *countries in map(
+        str.split,
+        (
+            "15 NO", "16 BE", "18 DK FI FK FO GL NL SD", "19 MK SI", "20 AT BA EE KZ LT LU MN XK", "21 CH HR LI LV", "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ OM SO TL",
+            "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST", "26 IS TR", "27 BI DJ FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HN HU LB NI PL SV", "29 BR EG PS QA UA", "30 JO KW MU YE", "31 MT SC", "32 LC", "33 RU",
+        ),
+    )
+    for country in countries
+}
 #: Code points before a span that are searched for context words, what one adds, and the least score of an added span.
 NEAR, LIFT, LEAST_SCORE = 40, 0.25, 0.5
 
@@ -64,9 +77,41 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(14, 19) & luhn(digits)
     if kind == "phone":
         return F.length(digits).between(10, 15)
-    if kind == "iban":
-        return mod97(match)
-    return F.lit(True)
+    return F.lit(True)  # account numbers have passed mod-97
+
+
+def iban_size(head: Column, tail: Column) -> Column:
+    """Code points of the account number that begins with ``head`` and ends at a blank or the end of ``tail``; null if there is none."""
+    parts = F.split(F.concat(head, tail), " ")
+    # the country's length, else any
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair)), F.left(head, F.lit(2)))
+    begun = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), " "))
+    fits = F.filter(begun, lambda x: F.coalesce(F.length(F.replace(x, F.lit(" "), F.lit(""))) == known, F.lit(True)) & mod97(x))
+    return F.array_max(F.transform(fits, lambda x: F.length(x)))
+
+
+def _ibans(kind: Kind, text: Column) -> Column:
+    """array<struct<start, end, match, before>> of account numbers; ``kind.pattern`` matches heads and looks ahead at what may follow."""
+    heads, tails = (F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(k)) for k in (0, 1))
+    pairs = F.transform(F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), heads.alias("head"), tails.alias("tail")), lambda x: F.struct(x["gap"].alias("gap"), x["head"].alias("head"), iban_size(x["head"], x["tail"]).alias("size"), x["tail"].alias("tail")))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+
+    def add(s: Column, x: Column) -> Column:
+        # what stands since the last number, whose end may lie in this gap or behind it
+        start = s["at"] + F.length(x["gap"])
+        before = F.right(F.concat(s["before"], F.substr(x["gap"], F.greatest(s["end"] - s["at"], F.lit(0)) + 1)), F.lit(NEAR))
+        taken = x["size"].isNotNull() & (start >= s["end"])
+        found = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.left(F.concat(x["head"], x["tail"]), x["size"]).alias("match"), F.lower(before).alias("before"))
+        return F.when(x["head"].isNull(), s).otherwise(
+            F.struct(
+                (start + F.length(x["head"])).alias("at"),
+                F.when(taken, start + x["size"]).otherwise(s["end"]).alias("end"),
+                F.when(taken, F.lit("")).when(start < s["end"], s["before"]).otherwise(F.concat(before, x["head"])).alias("before"),
+                F.when(taken, F.concat(s["out"], F.array(found))).otherwise(s["out"]).alias("out"),
+            )
+        )
+
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("before"), none.alias("out")), add)["out"]
 
 
 def _spans(k: int, kind: Kind, text: Column) -> Column:
@@ -80,7 +125,7 @@ def _spans(k: int, kind: Kind, text: Column) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.lower(F.right(x["gap"], F.lit(NEAR))).alias("before"))
         return F.when(x["match"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(found)).alias("out")))
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
+    placed = _ibans(kind, text) if kind.name == "iban" else F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
     near = lambda x: x["before"].rlike("(?<![a-z])(?:" + "|".join(kind.context) + ")")
     score = lambda x: F.lit(kind.prior) + F.when(near(x), F.least(F.lit(LIFT), F.lit(1 - kind.prior))).otherwise(0.0)
     keep = lambda x: confirmed(kind.name, x["match"]) & (F.lit(True) if kind.base else score(x) >= LEAST_SCORE)

@@ -224,6 +224,19 @@ def test_pii_method_and_redaction(spark):
     assert pii.redacted(pii.find(df)).where("doc_id = 3").first()["text"] == "mail [EMAIL] now, host [IP]"
 
 
+def test_iban_before_capitals_and_numbers(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    rest = ["", " BIC COBADEFFXXX", " 2024", " A note", " 12 34 56", ", end", "\nNEXT", f" {de}", " Bank", " BIC " + "X" * 40]
+    texts = [f"account {x}{r}" for x in (de, gb) for r in rest] + [f"QX12 {de} BIC", f"é😀 {de} {gb} {de} 1", "ZZ33 1234 5678 9012 345 NOTE", f"{de}1", f"{de}EUR", "DE88370400440532013000 BIC", "", None]
+    want = [[f"iban:8:{8 + len(x)}"] + [f"iban:{9 + len(x)}:{9 + len(x) + len(de)}"] * (de in r) for x in (de, gb) for r in rest]
+    want += [["iban:5:27"], ["iban:3:25", "iban:26:53", "iban:54:76"], ["iban:0:23"], [], [], [], [], []]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, x in enumerate(want):
+        assert [s for s in got[i].split(",") if s.startswith("iban")] == x, texts[i]
+    df = spark.createDataFrame([(1, f"account {de} BIC COBADEFFXXX")], "doc_id long, text string")
+    assert pii.redacted(pii.find(df)).first()["text"] == "account [IBAN] BIC COBADEFFXXX"
+
+
 def test_op10_odd(odd_docs, no_docs):
     assert pii.digest(pii.find(odd_docs)).count() == 10
     assert pii.digest(pii.find(no_docs)).count() == 0
