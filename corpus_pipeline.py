@@ -26,10 +26,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of links; rows that repeat its id count as copies of it."""
-    found = jaccard.join(docs)
-    first = found.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(docs.columns)
+    """Keeps one row of each group of links: that of smallest id, null ids last; wordless texts link with nothing."""
+    # rows are linked, not ids, which may repeat or be null: each gets a key that stays as it is once written
+    keyed = written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    found = jaccard.join(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = keyed.select("row_key", "doc_id").join(found, "row_key").groupBy("component_id").agg(F.min(order)["row_key"].alias("row_key"))
+    return keyed.join(first, "row_key", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

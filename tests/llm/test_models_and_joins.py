@@ -244,6 +244,16 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in clean.collect()}
 
 
+def test_near_duplicates_of_rows(spark, no_docs):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "to be or not to be that is")
+    rows = [(3, a)] * 40 + [(None, a), (None, a), (5, a), (None, b), (None, b), (7, c), (6, c), (6, a), (8, "x y"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, a), (None, b), (6, c), (8, "x y"), (9, None), (9, "")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, no_docs, "").count() == 0
+
+
 def test_pipeline_odd(spark, odd_docs, no_docs, tmp_path):
     odd_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
