@@ -74,25 +74,42 @@ def parse(html: str) -> Node:
 
 def markdown(node: Node) -> str:
     """Headings, lists, links, tables as nested lists, paragraphs; dropped elements leave nothing."""
-    inner = lambda n: "".join(c if isinstance(c, str) else markdown(c) for c in n.children)
+    top: list[str] = []
+    # open elements with what their children gave so far: unclosed tags nest deeper than calls can
+    stack = [(None, iter([node]), top)]
+    while stack:
+        n, rest, parts = stack[-1]
+        for c in rest:
+            if isinstance(c, str):
+                parts.append(c)
+            elif c.tag == "br":
+                parts.append("\n")
+            elif c.tag == "table":
+                parts.append(table_list(c))
+            elif c.tag not in DROPPED:
+                stack.append((c, iter(c.children), []))
+                break
+        else:
+            stack.pop()
+            if stack:
+                stack[-1][2].append(wrapped(n, "".join(parts)))
+    return "".join(top)
+
+
+def wrapped(node: Node, inner: str) -> str:
+    """An element's Markdown, from that of its children."""
     tag = node.tag
-    if tag in DROPPED:
-        return ""
     if re.fullmatch("h[1-6]", tag):
-        title = " ".join(inner(node).split())
+        title = " ".join(inner.split())
         return f"\n\n{'#' * int(tag[1])} {title}\n\n" if title else ""
-    if tag == "br":
-        return "\n"
     if tag == "li":
-        return f"\n- {inner(node).strip()}"
+        return f"\n- {inner.strip()}"
     if tag == "a" and node.attrs.get("href"):
-        return f"[{inner(node).strip()}]({node.attrs['href']})"
+        return f"[{inner.strip()}]({node.attrs['href']})"
     if tag in ("b", "strong"):
-        bold = inner(node).strip()  # once: unclosed tags nest deep
+        bold = inner.strip()
         return f"**{bold}**" if bold else ""
-    if tag == "table":
-        return table_list(node)
-    return f"\n\n{inner(node)}\n\n" if tag in BLOCK else inner(node)
+    return f"\n\n{inner}\n\n" if tag in BLOCK else inner
 
 
 def table_list(table: Node) -> str:
@@ -126,19 +143,25 @@ def sections(html: str, heading: str = "h2") -> list[tuple[str, str, str]]:
         return [("", title, text)] if text else []
     found: dict[str, tuple[str, str, str]] = {}
     parts, current = {}, None
-
-    def visit(n: Node) -> None:
-        nonlocal current
-        for c in n.children:
+    around = set()  # elements that hold a heading
+    for h in heads:
+        n = h.parent
+        while n is not None and id(n) not in around:
+            around.add(id(n))
+            n = n.parent
+    stack = [iter(body.children)]
+    while stack:
+        for c in stack[-1]:
             if isinstance(c, Node) and c.tag == heading:
                 current = c
                 parts[id(c)] = []
-            elif isinstance(c, Node) and any(x.tag == heading for x in c.walk()):
-                visit(c)
+            elif isinstance(c, Node) and id(c) in around:
+                stack.append(iter(c.children))
+                break
             elif current is not None:
                 parts[id(current)].append(c if isinstance(c, str) else markdown(c))
-
-    visit(body)
+        else:
+            stack.pop()
     for h in heads:
         title, text = " ".join(h.text().split()), tidy("".join(parts.get(id(h), [])))
         if text:
@@ -157,7 +180,7 @@ def page_sections(pages: DataFrame, heading: str = "h2") -> DataFrame:
             for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
                 try:
                     rows += [(page, k, *s) for k, s in enumerate(sections(html, heading))]
-                except (ValueError, RecursionError):
+                except ValueError:
                     continue
             yield pd.DataFrame(rows, columns=["page_id", "section", "anchor", "title", "content"])
 

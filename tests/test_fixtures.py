@@ -148,6 +148,15 @@ def test_feeds(spark):
     assert feeds.club_documents(clubs, leaders).first()["content"] == "# T\nd\n\n**Club leader:** N [@a\\_b](https://t.me/a\\_b)\n\n**Telegram chat:** [join](http://t\\_x)"
 
 
+def test_html_sections_of_deep_pages(spark):
+    deep = 3000
+    plain, headed = "<body>" + "<i>x " * deep, "<body>" + "<div><i>" * deep + "<h2>A</h2>a<h2>B</h2>b" + "<b>" * deep + "c"
+    df = spark.createDataFrame([(1, plain), (2, headed)], "page_id long, html string")
+    got = {(r["page_id"], r["title"]): r["content"] for r in html.page_sections(df).collect()}
+    assert set(got) == {(1, ""), (2, "A"), (2, "B")}
+    assert got[1, ""] == " ".join("x" * deep) and got[2, "A"] == "a" and got[2, "B"] == "b" + "**" * deep + "c" + "**" * deep
+
+
 def test_html_sections():
     page = "<body><h1>T</h1><div id=one><h2>A</h2><p>x<p>y</div><div id=two><h2>B</h2></div><div><h2>C</h2><ul><li>i<li>j</ul><script>no</script><table><tr><th>h1<th>h2<tr><td>a<td>b</table></div>"
     assert html.sections(page) == [("one", "A", "x\n\ny"), ("", "C", "- i\n- j\n\n- a\n\t- h2: b")]
