@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -61,15 +62,21 @@ def wiki_edges(links: DataFrame, domain: str, ignored: list[str]) -> DataFrame:
     return plain.where((part("HOST") == domain) & ~part("PATH").isin(ignored) & ~F.contains(part("QUERY"), F.lit("oldid"))).select("source", "target").distinct()
 
 
-def reachable(edges: DataFrame, start: DataFrame, most_hops: int = 100) -> DataFrame:
-    """(page, depth) of all pages that ``start`` (page) reaches over (source, target), by anti joins against the visited set."""
+#: Fronts that the visited set takes up before it is written as one table.
+FRONTS = 16
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(page, depth) of all pages that ``start`` (page) reaches over (source, target), by anti joins against the visited set until nothing is new."""
     visited = written(start.select("page", F.lit(0).alias("depth")).distinct(), "visited")
     front = visited.select("page")
-    for depth in range(1, most_hops + 1):
+    for depth in itertools.count(1):
         new = edges.join(front, edges["source"] == front["page"], "left_semi").select(F.col("target").alias("page")).distinct().join(visited.select("page"), "page", "left_anti")
         new = written(new, "front")
         if new.isEmpty():
             break
         visited = visited.unionByName(new.withColumn("depth", F.lit(depth)))
+        if depth % FRONTS == 0:
+            visited = written(visited, "visited")
         front = new
     return visited

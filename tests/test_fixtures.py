@@ -148,6 +148,12 @@ def test_feeds(spark):
     assert feeds.club_documents(clubs, leaders).first()["content"] == "# T\nd\n\n**Club leader:** N [@a\\_b](https://t.me/a\\_b)\n\n**Telegram chat:** [join](http://t\\_x)"
 
 
+def test_crawl_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(105)] + [("p105", "p0")], "source string, target string").coalesce(1)
+    got = crawl.reachable(edges, spark.createDataFrame([("p0",)], "page string")).collect()
+    assert sorted((r["depth"], r["page"]) for r in got) == [(i, f"p{i}") for i in range(106)]
+
+
 def test_html_sections_of_deep_pages(spark):
     deep = 3000
     plain, headed = "<body>" + "<i>x " * deep, "<body>" + "<div><i>" * deep + "<h2>A</h2>a<h2>B</h2>b" + "<b>" * deep + "c"
