@@ -7,12 +7,18 @@ same matches and stays linear on long runs.
 
 The base kinds (email, ip, card, phone) always stay. The method adds ``iban`` (mod-97) and ``ssn`` (which needs context),
 where the score reaches ``least_score``. Of what may follow the head of an ``iban``, as much is taken as its country's numbers have, or
-up to the last blank at which mod-97 passes where the country is not known; every head is tried that no earlier number covers. Null texts count as empty; an empty table gives no rows; other columns pass through.
-Positions are code points, ends exclusive; spans of different kinds may overlap. ``redacted`` replaces the union of spans.
+up to the last blank at which mod-97 passes where the country is not known; every head is tried that no earlier number covers.
+Positions are code points, ends exclusive; spans of different kinds may overlap, those of equal start are in order of kind.
+``redacted`` replaces the union of spans.
+
+Null texts count as empty and stay null; long texts are scanned whole, in time that grows with length and matches; repeated
+rows give equal results; an empty table gives no rows. ``find`` replaces a column that is named as its own (``pii_col``
+names it otherwise); the others pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -90,42 +96,88 @@ def iban_size(head: Column, tail: Column) -> Column:
     return F.array_max(F.transform(fits, lambda x: F.length(x)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """array<string>: for each item what ``step(state, item)`` gives beside the next state (no comma in it), and one more text.
+
+    The state is carried through in order. Results are collected as text, in blocks, since Spark copies a collected
+    array in full at every step.
+    """
+
+    def over(all_items: Column) -> Column:
+        def inside(s: Column, i: Column) -> Column:
+            after, found = step(s["state"], F.get(all_items, i))
+            return F.struct(after.alias("state"), F.concat(s["out"], found, F.lit(",")).alias("out"))
+
+        def one(s: Column, b: Column) -> Column:
+            places = F.sequence(b * block, F.least((b + 1) * block, F.size(all_items)) - 1)
+            return F.aggregate(places, F.struct(s["state"].alias("state"), F.lit("").alias("out")), inside, lambda e: F.struct(e["state"].alias("state"), F.concat(s["out"], e["out"]).alias("out")))
+
+        blocks = F.when(F.size(all_items) > 0, F.sequence(F.lit(0), ((F.size(all_items) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.split(F.aggregate(blocks, F.struct(state.alias("state"), F.lit("").alias("out")), one, lambda e: e["out"]), ",", -1)
+
+    return bound(items, over)
+
+
+def _present(items: Column) -> Column:
+    return F.filter(items, lambda x: x.isNotNull())
+
+
+def _text(*numbers: Column) -> Column:
+    return F.concat_ws(":", *(n.cast("string") for n in numbers))
+
+
+def _number(text: Column, k: int) -> Column:
+    return F.get(F.split(text, ":"), F.lit(k)).cast("int")
+
+
 def _ibans(kind: Kind, text: Column) -> Column:
     """array<struct<start, end, match, before>> of account numbers; ``kind.pattern`` matches heads and looks ahead at what may follow."""
     heads, tails = (F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(k)) for k in (0, 1))
-    pairs = F.transform(F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), heads.alias("head"), tails.alias("tail")), lambda x: F.struct(x["gap"].alias("gap"), x["head"].alias("head"), iban_size(x["head"], x["tail"]).alias("size"), x["tail"].alias("tail")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    zipped = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), heads.alias("head"), tails.alias("tail"))
+    sized = F.transform(zipped, lambda x: F.struct(x["gap"].alias("gap"), x["head"].alias("head"), iban_size(x["head"], x["tail"]).alias("size"), x["tail"].alias("tail")))
 
-    def add(s: Column, x: Column) -> Column:
-        # what stands since the last number, whose end may lie in this gap or behind it
+    def step(s: Column, x: Column) -> tuple[Column, Column]:
         start = s["at"] + F.length(x["gap"])
-        before = F.right(F.concat(s["before"], F.substr(x["gap"], F.greatest(s["end"] - s["at"], F.lit(0)) + 1)), F.lit(NEAR))
-        taken = x["size"].isNotNull() & (start >= s["end"])
-        found = F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.left(F.concat(x["head"], x["tail"]), x["size"]).alias("match"), F.lower(before).alias("before"))
-        return F.when(x["head"].isNull(), s).otherwise(
-            F.struct(
-                (start + F.length(x["head"])).alias("at"),
-                F.when(taken, start + x["size"]).otherwise(s["end"]).alias("end"),
-                F.when(taken, F.lit("")).when(start < s["end"], s["before"]).otherwise(F.concat(before, x["head"])).alias("before"),
-                F.when(taken, F.concat(s["out"], F.array(found))).otherwise(s["out"]).alias("out"),
-            )
-        )
+        taken = x["head"].isNotNull() & x["size"].isNotNull() & (start >= s["end"])
+        after = F.struct((start + F.coalesce(F.length(x["head"]), F.lit(0))).alias("at"), F.when(taken, start + x["size"]).otherwise(s["end"]).alias("end"))
+        return after, F.when(taken, _text(start, s["end"])).otherwise("")
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("before"), none.alias("out")), add)["out"]
+    def placed(pairs: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            x, start = F.get(pairs, i), _number(t, 0)
+            # the gap before, and heads that were none with theirs, back to where the last number ended
+            parts = [F.coalesce(F.get(pairs, i - k)[c], F.lit("")) for k in (2, 1) for c in ("gap", "head")]
+            before = F.right(F.concat(*parts, x["gap"]), F.least(F.lit(NEAR), start - _number(t, 1)))
+            return F.when(t != "", F.struct(start.alias("start"), (start + x["size"]).alias("end"), F.left(F.concat(x["head"], x["tail"]), x["size"]).alias("match"), F.lower(before).alias("before")))
 
+        return _present(F.transform(scanned(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("end")), step), one))
 
-def _spans(k: int, kind: Kind, text: Column) -> Column:
-    """array<struct<start, kind, end, score>> of one kind."""
-    pairs = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
-    none = F.array().cast("array<struct<start:int,end:int,match:string,before:string>>")
+    return bound(sized, placed)
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"), F.lower(F.right(x["gap"], F.lit(NEAR))).alias("before"))
-        return F.when(x["match"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(found)).alias("out")))
 
-    placed = _ibans(kind, text) if kind.name == "iban" else F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
+def _matches(kind: Kind, text: Column) -> Column:
+    """array<struct<start, end, match, before>> of all matches."""
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
+        return start + F.coalesce(F.length(x["match"]), F.lit(0)), start.cast("string")
+
+    def one(x: Column, t: Column) -> Column:
+        start = t.cast("int")
+        return F.when(x["match"].isNotNull(), F.struct(start.alias("start"), (start + F.length(x["match"])).alias("end"), x["match"].alias("match"), F.lower(F.right(x["gap"], F.lit(NEAR))).alias("before")))
+
+    zipped = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"))
+    return bound(zipped, lambda pairs: _present(F.zip_with(pairs, scanned(pairs, F.lit(0), step), one)))
+
+
+def _spans(k: int, kind: Kind, text: Column) -> Column:
+    """array<struct<start, kind, end, score>> of one kind."""
+    placed = _ibans(kind, text) if kind.name == "iban" else _matches(kind, text)
     near = lambda x: x["before"].rlike("(?<![a-z])(?:" + "|".join(kind.context) + ")")
     score = lambda x: F.lit(kind.prior) + F.when(near(x), F.least(F.lit(LIFT), F.lit(1 - kind.prior))).otherwise(0.0)
     keep = lambda x: confirmed(kind.name, x["match"]) & (F.lit(True) if kind.base else score(x) >= LEAST_SCORE)
@@ -133,10 +185,10 @@ def _spans(k: int, kind: Kind, text: Column) -> Column:
     return F.when(text.rlike(kind.guard), out).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,score:double>>"))
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii``: its spans as array<struct<start, kind, end, score>>, by start, then kind."""
+def find(docs: DataFrame, text_col: str = "text", pii_col: str = "pii") -> DataFrame:
+    """``docs`` with ``pii_col``, in place of a column of that name: its spans as array<struct<start, kind, end, score>>, by start, then kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("pii", F.sort_array(F.concat(*(_spans(k, kind, text) for k, kind in enumerate(KINDS)))))
+    return docs.withColumn(pii_col, F.sort_array(F.concat(*(_spans(k, kind, text) for k, kind in enumerate(KINDS)))))
 
 
 def joined(spans: Column, scores: bool = False) -> Column:
@@ -153,19 +205,37 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns, from a frame with ``pii``."""
     n_base = sum(k.base for k in KINDS)
     base = F.filter("pii", lambda x: x["kind"] < n_base)
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind.name}") for k, kind in enumerate(KINDS) if kind.base]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind.name}") for k, kind in enumerate(KINDS) if kind.base]
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), joined(F.col("pii"), True).alias("scores"))
 
 
-def redacted(found: DataFrame, text_col: str = "text") -> DataFrame:
+#: Code points of the parts that a text is cut into before stretches are taken from it.
+PART = 1024
+
+
+def _stretch(parts: Column, first: Column, end: Column) -> Column:
+    """The code points from ``first`` up to ``end`` of a text that was cut into ``parts``."""
+    lower = lambda c: F.greatest(first - c * PART, F.lit(0))
+    one = lambda c: F.substr(F.get(parts, c), lower(c) + 1, F.least(end - c * PART, F.lit(PART)) - lower(c))
+    return F.when(end > first, F.array_join(F.transform(F.sequence((first / PART).cast("int"), ((end - 1) / PART).cast("int")), one), "")).otherwise("")
+
+
+def redacted(found: DataFrame, text_col: str = "text", pii_col: str = "pii") -> DataFrame:
     """A frame with ``pii``, each stretch of its text that spans cover replaced by its first kind in brackets."""
-    text = F.col(text_col)
+    text, spans = F.col(text_col), F.col(pii_col)
     mark = F.array(*(F.lit(f"[{k.name.upper()}]") for k in KINDS))
 
-    def add(s: Column, x: Column) -> Column:
-        apart = x["start"] >= s["at"]
-        out = F.when(apart, F.concat(s["out"], F.substr(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.get(mark, x["kind"]))).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, _text(at, x["start"], x["kind"])).otherwise("")
+
+    def done(parts: Column) -> Column:
+        one = lambda t: F.when(t != "", F.concat(_stretch(parts, _number(t, 0), _number(t, 1)), F.get(mark, _number(t, 2)))).otherwise("")
+        last = F.array_max(F.transform(spans, lambda x: x["end"]))
+        return F.concat(F.array_join(F.transform(scanned(spans, F.lit(0), step), one), ""), _stretch(parts, last, F.length(text)))
 
-    done = F.aggregate("pii", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
-    return found.withColumn(text_col, F.when(F.size("pii") > 0, done).otherwise(text))
+    whole = bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), done)
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, whole).otherwise(text))
