@@ -11,26 +11,22 @@ which changes speed and nothing else.
 token how many bytes end complete characters, so text leaves as soon as it can and never in half characters.
 
 Null texts count as empty, empty texts have no ids, whole texts of any length are taken; repeated rows give equal
-results; other columns are untouched.
+results; an empty table gives no rows. Merges of equal rank go from left to right, as the library has it. Ids are passed on
+as they are, null or not; ``encode_decode`` reads no other column and ``token_ids`` replaces one that is named as its own.
 """
 
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from siftwell.llm.common import small_batches
+from siftwell.llm.common import map_rows, one_model, small_batches
 from siftwell.llm.wordhash import WordTable, code_points, pattern_pieces, span_hashes, spread
-from siftwell.session import ship
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -282,26 +278,24 @@ class Encoder:
                 yield ids[cuts[i] : cuts[i + 1]]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process; the path must be readable on every executor."""
-    return Encoder(load_ranks(path))
+    return one_model(("ranks", path), lambda: Encoder(load_ranks(path)))
 
 
 def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded, then its ids decoded as a stream."""
-    ship(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(ranks_path)
         written = [str(i).encode() for i in range(len(enc.tokens))]
         whole = np.fromiter((_is_whole(t) for t in enc.tokens), bool, len(enc.tokens))
         decoder = StreamDecoder(enc.tokens)
-        for pdf in batches:
-            rows = []
-            for ids in enc.encode([t or "" for t in pdf["t"]]):
+
+        def run(texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
+            counts, digests, decoded = [], [], []
+            for ids in enc.encode([t or "" for t in texts]):
                 as_list = ids.tolist()
-                digest = hashlib.sha256(b" ".join([written[i] for i in as_list])).hexdigest()
                 back = hashlib.sha256()
                 # between tokens that hold whole characters the machine stays in state 0; it steps through the others
                 odd = np.flatnonzero(~whole[ids])
@@ -313,13 +307,14 @@ def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
                     back.update(b"".join([enc.tokens[i] for i in as_list[hi:]]))
                 else:
                     back.update(b"".join([enc.tokens[i] for i in as_list]))
-                rows.append((len(as_list), digest, back.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "i", pdf["i"].array)
-            yield out
+                counts.append(len(as_list))
+                digests.append(hashlib.sha256(b" ".join([written[i] for i in as_list])).hexdigest())
+                decoded.append(back.hexdigest())
+            return counts, digests, decoded
+
+        return run
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInPandas(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("i", id_col)
+    return map_rows(df, [id_col], [text_col], "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
 
 
 def _is_whole(token: bytes) -> bool:
@@ -330,17 +325,13 @@ def _is_whole(token: bytes) -> bool:
 
 
 def token_ids(df: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``df`` with the ids of each text as an array column."""
-    ship(df.sparkSession)
-    schema = df.drop(ids_col).schema.add(ids_col, T.ArrayType(T.IntegerType()))
+    """``df`` with the ids of each text as an array column, in place of a column of that name."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(ranks_path)
-        for pdf in batches:
-            pdf[ids_col] = [x.astype(np.int32) for x in enc.encode([t or "" for t in pdf[text_col]])]
-            yield pdf[schema.names]
+        return lambda texts: ([x.astype(np.int32) for x in enc.encode([t or "" for t in texts])],)
 
-    return df.drop(ids_col).mapInPandas(run, schema)
+    return map_rows(df, df.columns, [text_col], f"{ids_col} array<int>", make)
 
 
 def ids_crc32(ids: np.ndarray) -> int:

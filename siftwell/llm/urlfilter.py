@@ -9,16 +9,15 @@ longer text wins; equal ones cannot both fit.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.llm.common import map_rows
 from siftwell.llm.wordhash import code_points, mixed
-from siftwell.session import ship
 
 BUCKETS = 1 << 14
 
@@ -120,17 +119,17 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule] = RULES) -> Column
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, model: tuple[np.ndarray, float] | None = None, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, score): the score is the regression's, whether or not a rule decides."""
-    ship(pages.sparkSession)
     theta, bias = model or default_model()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            g, of, w = features(list(zip(pdf["host"], pdf["path"], strict=True)))
-            pdf["score"] = 1 / (1 + np.exp(-(np.bincount(of, theta[g] * w, len(pdf)) + bias)))
-            yield pdf
+    def make():
+        def run(hosts: list[str], paths: list[str]) -> tuple[np.ndarray]:
+            g, of, w = features(list(zip(hosts, paths, strict=True)))
+            return (1 / (1 + np.exp(-(np.bincount(of, theta[g] * w, len(hosts)) + bias))),)
+
+        return run
 
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = split.mapInPandas(run, split.select("*").schema.add("score", "double"))
+    scored = map_rows(split, ["page_id", "host", "path"], ["host", "path"], "score double", make)
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdicts = F.create_map(*(F.lit(x) for r in rules for x in (r.text, r.verdict))) if rules else F.create_map().cast("map<string,string>")
     by_score = F.when(F.col("score") >= threshold, "block").otherwise("allow")
