@@ -1,7 +1,7 @@
 """Best-fit packing (2): documents into sequences of at most ``capacity`` tokens, improved by swap-based local search.
 
 Texts become ids once, in the scan; from then on only (id, piece, length, checksum) rows move. Pieces are dealt by a hash
-to blocks of about ``block_docs`` documents. A block starts from best fit in falling length; then the emptiest underfull
+of their place to blocks of about ``block_docs`` documents. A block starts from best fit in falling length; then the emptiest underfull
 bin gives what it holds to others: moves, one-for-one, two-for-one and one-for-two exchanges, always the one that fills
 the other bin most, so the sum of squared fills grows with each step, until the bin is empty or no step is left. A block is
 done when it has the least possible number of bins or no underfull bin has a step left.
@@ -9,29 +9,38 @@ A block's last bins are not shared with other blocks: at most about one sequence
 
 Null texts count as empty: one piece that holds just the end id. Longer documents than a sequence are cut so that only
 the first piece is shorter. Repeated rows are packed as often as they come; an empty table gives no rows; other columns
-are not read. Equal lengths are placed in order of id and piece.
+are not read. Pieces are dealt and equal lengths placed by a hash of where they stand in the input, so that repeated or null
+ids are spread like any others; ids are passed on as they are.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.bpe import Encoder, ids_crc32
+from siftwell.llm.common import one_model
+from siftwell.llm.wordhash import mixed
 from siftwell.session import ship
 
-COLUMNS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+COLUMNS = f"{_PIECES}, sequence_id long, offset long"
+
 
 
-@functools.lru_cache(maxsize=2)
 def tokenizer(json_path: str) -> WithAdded:
-    """The ids that the public ``tokenizers`` file gives, one encoder a worker process.
+    """The encoder of a file, one a worker process."""
+    return one_model(("json", json_path), lambda: _tokenizer(json_path))
+
+
+def _tokenizer(json_path: str) -> WithAdded:
+    """The ids that the public ``tokenizers`` file gives.
 
     The file's own vocabulary and merge ranks are read; a new piece goes through the merge loop of ``tiktoken``, which
     gives the same ids for the same ranks, and known pieces come from the table. The file's added tokens are cut out first.
@@ -77,25 +86,35 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+
+
 def pieces(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the ids of each document with its end id, cut where longer than ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32, deal): the ids of each document with its end id, cut where longer than ``capacity``.
+
+    ``deal`` is a hash of the piece's place in its input, by which pieces are spread evenly whatever their ids are.
+    """
     ship(docs.sparkSession)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = tokenizer(json_path), np.array([end_id], np.uint32)
-        for pdf in batches:
-            rows = []
-            for doc, ids in zip(pdf["doc_id"].array, enc.encode([t or "" for t in pdf["text"]]), strict=True):
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            owner, rows = [], []
+            for doc, ids in enumerate(enc.encode([t or "" for t in batch.column(1).to_pylist()])):
                 ids = np.concatenate([ids, end])
                 start, length = 0, (len(ids) - 1) % capacity + 1
                 for piece in range(-(-len(ids) // capacity)):
-                    rows.append((doc, piece, start, length, ids_crc32(ids[start : start + length])))
+                    owner.append(doc)
+                    rows.append((piece, start, length, ids_crc32(ids[start : start + length])))
                     start, length = start + length, capacity
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+            found = np.array(rows, np.int64).reshape(-1, 4)
+            deal = mixed((np.arange(n, n + len(rows), dtype=np.uint64) << np.uint64(24)) + np.uint64(part)).view(np.int64)
+            n += len(rows)
+            # ids stay Arrow values: as floats beside nulls they would be rounded
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(found[:, 0].astype(np.int32)), *(pa.array(found[:, k]) for k in (1, 2, 3)), pa.array(deal)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{_PIECES}, deal long")
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -211,23 +230,20 @@ def pack_pieces(cut: DataFrame, n_docs: int, capacity: int = 2048, block_docs: i
     ship(cut.sparkSession)
     blocks = max(1, -(-n_docs // block_docs))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "start", "ids_crc32"], na_position="first", kind="stable").reset_index(drop=True)
-        sizes = pdf["length"].tolist()
-        block = int(pdf["block"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("deal")
+        sizes = table.column("length").to_pylist()
+        block = table.column("block")[0].as_py()
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         for k, held in enumerate(pack(sizes, capacity)):
             at = 0
             for i in held:
                 sequence[i], offset[i] = (block << 32) + k, at
                 at += sizes[i]
-        out = pdf.drop(columns="block")
-        out["sequence_id"], out["offset"] = sequence, offset
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        return out
+        return table.drop_columns(["block", "deal"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    block = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).alias("block")
-    return cut.select("*", block).groupBy("block").applyInPandas(run, COLUMNS)
+    block = F.pmod(F.col("deal"), F.lit(blocks)).alias("block")
+    return cut.select("doc_id", "piece", "start", "length", "ids_crc32", "deal", block).groupBy("block").applyInArrow(run, COLUMNS)
 
 
 def pack_documents(docs: DataFrame, json_path: str, capacity: int = 2048, end_id: int = 0, block_docs: int = 4096) -> DataFrame:
