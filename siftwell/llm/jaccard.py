@@ -26,8 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.llm.common import small_batches, written
 from siftwell.llm.graph import components
@@ -42,8 +44,8 @@ FRONT = 0.25
 _FRONT_END = np.uint64(int(FRONT * 2**64))
 #: Sets a block of a group, and sets of a bucket above which it becomes a chain instead of pairs.
 BLOCK, LARGE = 2048, 256
-#: Rows of ids that may be broadcast: 24 bytes each, so 24 MB.
-MOST_SENT = 1_000_000
+#: Rows of ids that may be broadcast: some 200 bytes each as a hash table, so 40 MB.
+MOST_SENT = 200_000
 _COLUMNS = 4096
 
 
@@ -91,10 +93,17 @@ def scan(docs: DataFrame, n_fragments: int) -> DataFrame:
     """Rows with a size: (doc_id, n, front, rid). Rows with a fragment: its hashes, and whose they are, for a batch of documents."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    schema = T._parse_datatype_string("doc_id long, n long, front long, rid long, fragment int, hashes binary, owners binary, names binary")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def rows_of(size: int, **columns) -> pa.RecordBatch:
+        arrays = [columns[name] if isinstance(columns.get(name), pa.Array) else pa.array(columns[name], t) if name in columns else pa.nulls(size, t) for name, t in zip(schema.names, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             sizes, fronts, names, parts, owners, known = [], [], [], [], [], {}
-            for found in shingle_sets([t or "" for t in pdf["text"]]):
+            for found in shingle_sets([t or "" for t in batch.column(1).to_pylist()]):
                 sizes.append(len(found))
                 fronts.append(int(np.searchsorted(found, _FRONT_END)))
                 name = record_id(found) if len(found) else None
@@ -104,7 +113,7 @@ def scan(docs: DataFrame, n_fragments: int) -> DataFrame:
                     take = found[: emitted(found)]
                     parts.append(take)
                     owners.append(np.full(len(take), known[name], np.uint32))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": sizes, "front": fronts, "rid": pd.array(names, "Int64"), "fragment": pd.array([None] * len(pdf), "Int32"), "hashes": None, "owners": None, "names": None})
+            yield rows_of(len(sizes), doc_id=batch.column(0), n=sizes, front=fronts, rid=names)
             if parts:
                 h, owner = np.concatenate(parts), np.concatenate(owners)
                 table = np.fromiter(known, np.int64, len(known))
@@ -113,15 +122,11 @@ def scan(docs: DataFrame, n_fragments: int) -> DataFrame:
                 rows = []
                 for f, at in zip(*_runs(of[order]), strict=True):
                     own, back = np.unique(owner[order[at]], return_inverse=True)
-                    rows.append((f, h[order[at]].tobytes(), back.astype(np.uint16 if len(pdf) <= 65536 else np.uint32).tobytes(), table[own].tobytes()))
-                out = pd.DataFrame(rows, columns=["fragment", "hashes", "owners", "names"])
-                out.insert(0, "doc_id", pd.array([None] * len(out), "Int64"))
-                out.insert(1, "n", pd.array([None] * len(out), "Int64"))
-                out.insert(2, "front", pd.array([None] * len(out), "Int64"))
-                out.insert(3, "rid", pd.array([None] * len(out), "Int64"))
-                yield out
+                    rows.append((f, h[order[at]].tobytes(), back.astype(np.uint16 if len(sizes) <= 65536 else np.uint32).tobytes(), table[own].tobytes()))
+                fragment, hashes, held_by, of_sets = zip(*rows, strict=True)
+                yield rows_of(len(rows), fragment=fragment, hashes=hashes, owners=held_by, names=of_sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, front long, rid long, fragment int, hashes binary, owners binary, names binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[slice]]:
@@ -310,19 +315,20 @@ def _cells(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     """``wanted`` (doc_id, rid, ...) with each record's sorted hashes."""
-    schema = wanted.drop("doc_id").schema.add("found", "binary")
+    kept = [c for c in wanted.columns if c != "doc_id"]
+    schema = wanted.select(*kept).schema.add("found", "binary")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = list(shingle_sets([t or "" for t in pdf["text"]]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = dict(zip(batch.schema.names, batch.columns, strict=True))
+            found = list(shingle_sets([t or "" for t in held["text"].to_pylist()]))
             # an id that several rows share may bring another text
-            same = [len(x) > 0 and record_id(x) == r for x, r in zip(found, pdf["rid"], strict=True)]
-            pdf["found"] = [x.tobytes() for x in found]
-            yield pdf.loc[same, schema.names]
+            same = pa.array([len(x) > 0 and record_id(x) == r for x, r in zip(found, held["rid"].to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*(held[c] for c in kept), pa.array([x.tobytes() for x in found], pa.binary())], names=schema.names).filter(same)
 
-    # up to MOST_SENT rows of three numbers are sent to every executor; more are joined by a shuffle
+    # up to MOST_SENT rows of five numbers are sent to every executor; more are joined by a shuffle
     chosen = F.broadcast(wanted) if n_wanted <= MOST_SENT else wanted
-    return docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").mapInArrow(run, schema)
 
 
 def _cut(sets: DataFrame, n_cuts: int) -> DataFrame:
