@@ -1,35 +1,34 @@
 """Toxicity (9): subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the average of the embeddings of its hashed character n-grams (3 to 5 and the whole, with word ends), a window of ``WINDOW``
-words the average of its words, and the softmax of a linear map of that is the window's score; misspelt and inflected words share
-n-grams with known ones. Windows slide by one word, so a phrase counts alike wherever it stands. A document scores as its most toxic window, so length does not dilute. Labels are of documents, so one
-window stands for each toxic document in training: first the one with the n-grams most peculiar to toxic documents, later
-the one that the model itself finds most toxic.
+A word is the average of the embeddings of its hashed character n-grams (3 to 5 and the whole, with word ends), a document the
+average of its ``TOP`` most toxic words, and the softmax of a linear map of that is its score: length does not dilute, a word
+counts alike wherever it stands, and one chance resemblance weighs less than several. Misspelt and inflected words share n-grams
+with known ones. Which words are a document's most toxic the model itself says; they are chosen anew, from all words of the
+whole text, every ``every`` steps of the training, and at first by how peculiar their n-grams are to toxic documents.
 
 Trained on a bounded sample: at most ``most_each`` toxic and twice as many other labelled documents outside the held-out
-fold (smallest id hashes), at most ``MOST_WINDOWS`` windows of each. Whole texts are scored. Since map and averages are
-linear, each n-gram has one number after training and a document's score needs only sums of them.
+fold, of smallest id hash among those of at most ``longest`` characters. Whole texts teach and are scored. Since map and averages
+are linear, each n-gram has one number after training and a document's score needs only means of them.
 
-Null and wordless texts score 0; an empty table gives no rows; repeated rows score alike; without labels of both classes
-every score is 0. Columns other than id and text are not read.
+Null and wordless texts score 0; an empty table gives no rows; repeated rows score alike and teach once; without labels of both
+classes every score is 0; of equally toxic words any may count, which does not change the score. Columns other than id and text
+are not read, and ids are passed on as they are.
 """
 
 from __future__ import annotations
 
-import functools
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import is_held_out, small_batches
+from siftwell.llm.common import is_held_out, map_rows, one_model, small_batches
 from siftwell.llm.wordhash import LETTER, NUMBER, WordTable, char_classes, code_points, mixed, span_hashes, spread, words_between
-from siftwell.session import ship
 
-WINDOW, BUCKETS, DIM, MOST_WINDOWS = 3, 1 << 16, 4, 150
+TOP, BUCKETS, DIM = 3, 1 << 16, 4
+#: N-grams over which a word's embedding is averaged at least: those that a short word lacks are neutral ones.
+LEAST_GRAMS = 24
 THRESHOLD = 0.7
 
 
@@ -72,77 +71,72 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(counts) - counts, axis=0) if len(counts) else values[:0]
 
 
-def windows_of(n_words: np.ndarray) -> np.ndarray:
-    """How many windows texts of so many words have: one begins at each word that ``WINDOW`` words follow or are; a shorter text is one."""
-    return np.minimum(n_words, np.maximum(1, n_words - WINDOW + 1))
-
-
-def train(texts: list[str], toxic: list[int], phases: int = 2, rounds: int = 35, rate: float = 0.12, lift: float = 2.0, peculiarity: float = 0.8, seed: int = 7) -> tuple[np.ndarray, float]:
+def top_words(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Places of the ``TOP`` greatest values of each run that begins at ``at`` (one more entry: the end), run by run."""
+    size = np.diff(at)
+    run = np.repeat(np.arange(len(size)), size)
+    left, chosen = np.arange(len(values)), []
+    for _ in range(TOP):
+        if not len(left):
+            break
+        owner = run[left]
+        begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        most = np.maximum.reduceat(values[left], begin)
+        hits = np.flatnonzero(values[left] == np.repeat(most, np.diff(np.r_[begin, len(left)])))
+        hits = hits[np.r_[True, owner[hits][1:] != owner[hits][:-1]]]  # the first of equal ones
+        chosen.append(left[hits])
+        left = np.delete(left, hits)
+    return np.sort(np.concatenate(chosen)) if chosen else left
+
+
+def train(texts: list[str], toxic: list[int], rounds: int = 70, every: int = 5, rate: float = 0.12, lift: float = 2.0, decay: float = 1e-4, smooth: float = 0.015, seed: int = 7) -> tuple[np.ndarray, float]:
     """One number for each n-gram bucket, and a bias: what the jointly trained embeddings and softmax come to."""
     if not any(toxic) or all(toxic):
         return np.zeros(BUCKETS), -np.inf
     random = np.random.default_rng(seed)
-    cp, starts, lengths, at = words_of(texts)
-    # windows as (first word, number of words, document); they slide by one word
-    n_windows = windows_of(np.diff(at))
-    first, count, doc = [], [], []
-    for d in range(len(texts)):
-        begins = np.arange(at[d], at[d] + n_windows[d])
-        if len(begins) > MOST_WINDOWS and not toxic[d]:
-            begins = np.sort(random.choice(begins, MOST_WINDOWS, replace=False))
-        first.append(begins)
-        count.append(np.minimum(WINDOW, at[d + 1] - begins))
-        doc.append(np.full(len(begins), d))
-    first, count, doc = map(np.concatenate, (first, count, doc))
     toxic_of = np.array(toxic)
-    label = toxic_of[doc].astype(float)
-    words = spread(first, count)
-    _, place, word = np.unique(span_hashes(cp, starts, lengths)[words], return_index=True, return_inverse=True)
-    grams, n_grams = ngrams(cp, starts[words[place]], lengths[words[place]])
+    cp, starts, lengths, at = words_of(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    _, place, word = np.unique(span_hashes(cp, starts, lengths), return_index=True, return_inverse=True)
+    grams, n_grams = ngrams(cp, starts[place], lengths[place])
     used, gram = np.unique(grams, return_inverse=True)
-    of_word = np.repeat(np.arange(len(place)), n_grams)
-    per_word = 1 / np.maximum(1, n_grams)
+    first = np.cumsum(n_grams) - n_grams
     table = random.normal(0, 0.1, (len(used), DIM))
     out = np.c_[-np.ones(DIM), np.ones(DIM)] * 1.5 + random.normal(0, 0.1, (DIM, 2))
-    bias = np.zeros(2)
-    # which window of a toxic document comes first: the one whose words have the n-grams most peculiar to toxic documents
-    pairs = np.unique(np.repeat(doc, count) * len(place) + word)
+    bias = np.array([2.0, -2.0])  # most texts are not toxic: ordinary words need not be pushed down for that
+    # at first words count by their n-grams' odds in toxic documents, at equal numbers of both kinds, with enough smoothing that a rare n-gram is not peculiar
+    pairs = np.unique(doc * len(place) + word)
+    of_word = np.repeat(np.arange(len(place)), n_grams)
     df = [np.bincount(pairs[toxic_of[pairs // len(place)] == k] % len(place), minlength=len(place)) for k in (0, 1)]
-    # (at equal numbers of both kinds, with enough smoothing that a rare n-gram is not peculiar)
-    odds = [np.log(np.bincount(gram, n[of_word], len(used)) * toxic_of.sum() / (toxic_of == k).sum() + 1 + 0.015 * toxic_of.sum()) for k, n in enumerate(df)]
-    peculiar = (sums((odds[1] - odds[0])[gram], n_grams) * per_word)[word]
-    lead = np.full(len(first), -np.inf)
-    np.maximum.at(lead, np.repeat(np.arange(len(first)), count), peculiar)
+    odds = [np.log(np.bincount(gram, n[of_word], len(used)) * toxic_of.sum() / (toxic_of == k).sum() + 1 + smooth * toxic_of.sum()) for k, n in enumerate(df)]
+    value = sums((odds[1] - odds[0])[gram], n_grams) / np.maximum(LEAST_GRAMS, n_grams)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (table, out, bias)]
-    order, step = lead - peculiarity, 0
-    for _phase in range(phases):
-        # for a toxic document stands its most peculiar window, later the one that the model finds most toxic,
-        # if it is so at all; against them every window of the others
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, doc, order)
-        taken = np.flatnonzero((label == 0) | ((order > 0) & (order == top[doc])))
-        y, n_words, at_word = label[taken], count[taken], word[spread((np.cumsum(count) - count)[taken], count[taken])]
-        weight = np.where(y > 0, lift, 1.0)
-        seen, at_word = np.unique(at_word, return_inverse=True)
-        its = gram[spread((np.cumsum(n_grams) - n_grams)[seen], n_grams[seen])]
-        n_its, inverse = n_grams[seen], per_word[seen][:, None]
-        gram_word, word_window = np.repeat(np.arange(len(seen)), n_its), np.repeat(np.arange(len(taken)), n_words)
-        for step in range(step + 1, step + 1 + rounds):
-            mean = sums((sums(table[its], n_its) * inverse)[at_word], n_words) / n_words[:, None]
-            logits = mean @ out + bias
-            slope = (1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -50, 50))) - y) * weight / len(texts)
-            both = np.c_[-slope, slope]
-            d_mean = (both @ out.T) / n_words[:, None]
-            d_word = np.stack([np.bincount(at_word, d_mean[word_window, k], len(seen)) for k in range(DIM)], axis=1) * inverse
-            d_table = np.stack([np.bincount(its, d_word[gram_word, k], len(used)) for k in range(DIM)], axis=1)
-            for x, d, (m, v) in ((table, d_table, moments[0]), (out, mean.T @ both, moments[1]), (bias, both.sum(axis=0), moments[2])):
-                m *= 0.9
-                m += 0.1 * d
-                v *= 0.99
-                v += 0.01 * d * d
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-        each = (sums((table @ (out[:, 1] - out[:, 0]))[gram], n_grams) * per_word)[word]
-        order = sums(each, count) / count + bias[1] - bias[0]
+    with_words = np.flatnonzero(np.diff(at))
+    y = toxic_of[with_words].astype(float)
+    weight = np.where(y > 0, lift, 1.0) / len(texts)
+    for step in range(1, rounds + 1):
+        if (step - 1) % every == 0:
+            if step > 1:
+                value = sums((table @ (out[:, 1] - out[:, 0]))[gram], n_grams) / np.maximum(LEAST_GRAMS, n_grams)
+            taken = top_words(value[word], at)
+            count = np.bincount(doc[taken], minlength=len(texts))[with_words]
+            seen, at_word = np.unique(word[taken], return_inverse=True)
+            its, n_its = gram[spread(first[seen], n_grams[seen])], n_grams[seen]
+            inverse = 1 / np.maximum(LEAST_GRAMS, n_its)[:, None]
+            gram_word, word_doc = np.repeat(np.arange(len(seen)), n_its), np.repeat(np.arange(len(with_words)), count)
+        mean = sums((sums(table[its], n_its) * inverse)[at_word], count) / count[:, None]
+        logits = mean @ out + bias
+        slope = (1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -50, 50))) - y) * weight
+        both = np.c_[-slope, slope]
+        d_mean = (both @ out.T) / count[:, None]
+        d_word = np.stack([np.bincount(at_word, d_mean[word_doc, k], len(seen)) for k in range(DIM)], axis=1) * inverse
+        d_table = np.stack([np.bincount(its, d_word[gram_word, k], len(used)) for k in range(DIM)], axis=1) + decay * table
+        for x, d, (m, v) in ((table, d_table, moments[0]), (out, mean.T @ both, moments[1]), (bias, both.sum(axis=0), moments[2])):
+            m *= 0.9
+            m += 0.1 * d
+            v *= 0.99
+            v += 0.01 * d * d
+            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
     value = np.zeros(BUCKETS)
     value[used] = table @ (out[:, 1] - out[:, 0])
     return value, float(bias[1] - bias[0])
@@ -152,7 +146,7 @@ class Scorer:
     """Scores whole texts; each new word's number is computed once and kept."""
 
     def __init__(self, value: np.ndarray, bias: float):
-        self.value, self.bias, self.table = value, bias, WordTable(most=2_000_000)
+        self.value, self.bias, self.table = value, bias, WordTable(most=500_000)
         self._forget()
 
     def _forget(self) -> None:
@@ -162,59 +156,55 @@ class Scorer:
         out = np.zeros(len(texts))
         for a, b in small_batches(texts):
             cp, starts, lengths, at = words_of(texts[a:b])
-            if not len(starts):
+            if not len(starts) or not np.isfinite(self.bias):
                 continue
 
             def learn(places: np.ndarray, base: int, cp=cp, starts=starts, lengths=lengths) -> None:
                 while base + len(places) > len(self.words):
                     self.words = np.r_[self.words, np.zeros_like(self.words)]
                 grams, n = ngrams(cp, starts[places], lengths[places])
-                self.words[base : base + len(places)] = sums(self.value[grams], n) / np.maximum(1, n)
+                self.words[base : base + len(places)] = sums(self.value[grams], n) / np.maximum(LEAST_GRAMS, n)
 
             rows = self.table.resolve(span_hashes(cp, starts, lengths), learn, self._forget)
             each = self.words[rows]
-            n_words = np.diff(at)
-            n_windows = windows_of(n_words)
-            doc = np.repeat(np.arange(b - a), n_windows)
-            first = spread(at[:-1], n_windows)
-            count = np.minimum(WINDOW, n_words[doc])
-            total = each[first]
-            for k in range(1, WINDOW):
-                inside = np.flatnonzero(count > k)
-                total[inside] += each[first[inside] + k]
-            top = np.full(b - a, -np.inf)
-            np.maximum.at(top, doc, total / count)
-            out[a:b] = np.where((n_words > 0) & np.isfinite(self.bias), 1 / (1 + np.exp(np.clip(-(top + self.bias), -700, 700))), 0.0)
+            doc = np.repeat(np.arange(b - a), np.diff(at))
+            taken = top_words(each, at)
+            count = np.bincount(doc[taken], minlength=b - a)
+            total = np.bincount(doc[taken], each[taken], b - a)
+            out[a:b] = np.where(count > 0, 1 / (1 + np.exp(np.clip(-(total / np.maximum(1, count) + self.bias), -700, 700))), 0.0)
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def _scorer(packed: bytes) -> Scorer:
-    return Scorer(*pickle.loads(packed))
-
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 500, longest: int = 20_000) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``most_each`` toxic and twice as many other documents of at most ``longest`` characters.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_each: int = 500) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most_each`` toxic and twice as many other documents."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out()).select("doc_id", "toxic")
+    Of rows that share an id one teaches, so no more than 3 * ``most_each`` texts come to the driver.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # ids are ranked without their texts; the few chosen ones then fetch theirs
+    fine = docs.where(F.length("text") <= longest)
+    usable = usable.join(fine.select("doc_id"), "doc_id", "left_semi")
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
     most = F.when(F.col("toxic") == 1, most_each).otherwise(2 * most_each)
     chosen = usable.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).withColumn("r", rank("toxic", "salt")).where((F.col("r") <= 2 * most_each) & (F.col("r") <= most))
     chosen = chosen.withColumn("r", rank("toxic")).where((F.col("r") <= 2 * most_each) & (F.col("r") <= most)).select("doc_id", "toxic")
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["text"]))
+    got = fine.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).collect()
+    got.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every whole text."""
-    ship(docs.sparkSession)
     value, bias = model
     packed = pickle.dumps((value.astype(np.float32), bias))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(packed)
-        for pdf in batches:
-            found = scorer.score([t or "" for t in pdf["text"]])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": found, "predicted": (found >= threshold).astype(np.int32)})
+    def make():
+        scorer = one_model(("toxicity", packed), lambda: Scorer(*pickle.loads(packed)))
+
+        def run(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+            found = scorer.score([t or "" for t in texts])
+            return found, (found >= threshold).astype(np.int32)
+
+        return run
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    return map_rows(docs, [F.col("doc_id").cast("long").alias("doc_id")], ["text"], "score double, predicted int", make)
