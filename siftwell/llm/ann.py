@@ -5,18 +5,22 @@ projections widen step by step (virtual rehashing: the same arrays serve every r
 often enough to be verified. When the verified share is reached, exact inner products in double precision rank them.
 Inner products become distances by one more coordinate, sqrt(greatest norm^2 - norm^2), 0 for queries.
 
-Every row is indexed, in blocks of ``block_rows`` by a hash of its id; queries come in chunks of ``chunk_rows`` and meet
-every block, so a task holds one block and one chunk. Vectors that are null, zero, hold null or non-finite parts or lack the common
-length take no part, as query or candidate. Repeated ids are candidates as often as they come, except for a query's own id.
-An empty table gives no rows; other columns are not read.
+Every row is indexed, in blocks of about ``block_rows`` by a hash of its id. A block's rows come to a task first and are indexed
+once; the queries follow as a stream of batches, so a task holds one block and one batch. Vectors that are null, zero, hold null or
+non-finite parts or lack the common length take no part, as query or candidate. Ties go to the smaller id. Repeated ids are
+candidates as often as they come, except for a query's own id; a query row that repeats id and vector is asked once, rows that
+share only the id get lists of their own. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.session import ship
 
@@ -37,16 +41,14 @@ class Index:
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
-    def search(self, query: np.ndarray, k: int, share: float = 0.08, least: int = 1500, n_used: int = 40, need: float = 0.55) -> np.ndarray:
-        """Places of the vectors to verify: those that collide in the most windows, ``share`` of all and ``least`` or more.
+    def search(self, query: np.ndarray, k: int, share: float = 0.08, n_used: int = 40, need: float = 0.55) -> np.ndarray:
+        """Places of the vectors to verify: those that collide in the most windows, ``share`` of all and 16 for each one asked for, or more.
 
         Of all lines those count on which the query lies farthest out: there its windows hold few other vectors. Windows
         widen until the verified ones lie in at least ``need`` of them.
         """
         n = len(self.vectors)
-        wanted = max(8 * k, int(share * n), least)
-        if n <= wanted:
-            return np.arange(n)
+        wanted = min(n, int(share * n) + 16 * k)
         # scaling a query keeps its order: it gets the block's greatest norm
         centre = (query * (self.norm / np.sqrt(query @ query))) @ self.lines[:-1]
         used = np.argsort(-np.abs(centre), kind="stable")[:n_used]
@@ -75,31 +77,51 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(fine).select(F.col(id_col).cast("long").alias("i"), v.cast("array<double>").alias("v"), finite.alias("ok")).where(F.coalesce(F.col("ok"), F.lit(False))).drop("ok")
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 32_768, chunk_rows: int = 1024, share: float = 0.08) -> DataFrame:
+def nearest(index: Index, ids: np.ndarray, query: np.ndarray, own: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and inner products of the ``k`` best verified vectors of other ids."""
+    at = index.search(query, k + 1, share)
+    at = at[ids[at] != own]
+    score = (index.vectors[at] * query).sum(axis=1)  # each row by itself, so that equal vectors score equally in any block
+    best = np.lexsort((ids[at], -score))[:k]
+    return ids[at][best], score[best]
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, share: float = 0.08) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries`` among all rows of ``df``."""
     ship(df.sparkSession)
     n_blocks = max(1, -(-df.count() // block_rows))
-    n_chunks = max(1, -(-queries.count() // chunk_rows))
-    data, asked = usable(df, id_col, vector_col), usable(queries, id_col, vector_col)
-
-    def run(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size, own in held.groupby(held["v"].map(len)):
-            mine = asks[asks["v"].map(len) == size]
-            if len(mine):
-                ids, index = own["i"].to_numpy(), Index(np.stack(own["v"].to_list()))
-                for q, v in zip(mine["i"], mine["v"], strict=True):
-                    at = index.search(v, k + 1, share)
-                    at = at[ids[at] != q]
-                    score = index.vectors[at] @ v
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    block = F.pmod(F.xxhash64("i"), F.lit(n_blocks)).cast("int").alias("block")
-    chunk = F.pmod(F.xxhash64("i", F.lit(1)), F.lit(n_chunks)).cast("int").alias("chunk")
-    left = data.select("i", "v", block, F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
-    right = asked.select("i", "v", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), chunk)
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    which = F.xxhash64("v").alias("which")  # tells queries of one id apart
+    data = usable(df, id_col, vector_col).select(F.pmod(F.xxhash64("i"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "i", "v", F.lit(None).cast("long").alias("which"))
+    asked = usable(queries, id_col, vector_col).dropDuplicates(["i", "v"]).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("asks"), "i", "v", which)
+    schema = T._parse_datatype_string("query_id long, which long, vec_id long, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, indexes = None, [], {}
+        for batch in batches:
+            for b, asks, i, v, w in zip(*(c.to_pylist() for c in (batch.column(0), batch.column(1), batch.column(2))), _rows(batch.column(3)), batch.column(4).to_pylist(), strict=True):
+                if b != block:
+                    block, held, indexes = b, [], {}
+                if not asks:
+                    held.append((i, v))
+                    continue
+                if held:  # the block is whole: one index for each length
+                    by_size: dict[int, list] = {}
+                    for x in held:
+                        by_size.setdefault(len(x[1]), []).append(x)
+                    indexes = {size: (np.array([x[0] for x in own]), Index(np.stack([x[1] for x in own]))) for size, own in by_size.items()}
+                    held = []
+                if len(v) in indexes:
+                    ids, index = indexes[len(v)]
+                    found, score = nearest(index, ids, v, i, k, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), w)), pa.array(found), pa.array(score)], names=schema.names)
+
+    met = data.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    """Each row's numbers, as views of one array."""
+    flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
