@@ -5,9 +5,11 @@ labelled rows (``most_labelled``, the rows of smallest id hash outside the held-
 information gain on two thirds of the sample, its last conditions pruned on the other third, and it is kept only if it is
 precise there. No Python runs on the executors.
 
-Null texts count as empty (no words: the base rule fails them); repeated rows are judged alike; an empty table gives no
-rows, and without labels the list is empty, so only the base rule rejects. Columns beside id and text are passed through;
-the statistics replace columns of the same names. Windows are compared by 64-bit hashes.
+Null texts count as empty (no words: the base rule fails them); long texts are read whole, in time that grows with their length
+(n log n where they repeat themselves); repeated rows are judged alike and teach as often as they come; the first rule that
+holds names the verdict, so rules never tie. An empty table gives no rows, and without labels the list is empty, so only the
+base rule rejects. Columns beside id and text are passed through; the statistics and verdicts replace columns of the same names,
+inner columns get names that no other has. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,28 +42,32 @@ def with_statistics(df: DataFrame, text_col: str = "text") -> DataFrame:
     Each array is a column of its own before it is indexed, so it is built once a row.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    a = df.withColumns({"_words": F.array_remove(F.split(text, SPACES, -1), "")})
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    last = F.size("_words") - 3
-    at = lambda i: F.get(F.col("_words"), i)
+    mark = "_"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    w, x, y, z, g = (mark + c for c in ("words", "lines", "windows", "sorted", "again"))
+    a = df.withColumns({w: F.array_remove(F.split(text, SPACES, -1), "")})
+    lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike("[^\\x20\\x09-\\x0D]"))
+    last = F.size(w) - 3
+    at = lambda i: F.get(F.col(w), i)
     a = a.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "_lines": lines,
-        "_windows": F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>")),
-    }).drop("_words")
+        x: lines,
+        y: F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))).otherwise(F.array().cast("array<bigint>")),
+    }).drop(w)
     a = a.withColumns({
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_sorted": F.when(F.size("_windows") > F.size(F.array_distinct("_windows")), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
-    }).drop("_lines", "_windows")
-    hash_at = lambda k: F.get(F.col("_sorted"), k).getField("h")
-    again = F.filter("_sorted", lambda x, k: F.coalesce(x["h"] == F.when(k > 0, hash_at(k - 1)), F.lit(False)) | F.coalesce(x["h"] == hash_at(k + 1), F.lit(False)))
-    a = a.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_sorted")
-    covered = F.transform("_again", lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col("_again"), k + 1) - p, F.lit(3))))
-    total = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
+        "n_dup_lines": (F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        z: F.when(F.size(y) > F.size(F.array_distinct(y)), F.sort_array(F.transform(y, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
+    }).drop(x, y)
+    hash_at = lambda k: F.get(F.col(z), k).getField("h")
+    again = F.filter(z, lambda e, k: F.coalesce(e["h"] == F.when(k > 0, hash_at(k - 1)), F.lit(False)) | F.coalesce(e["h"] == hash_at(k + 1), F.lit(False)))
+    a = a.withColumn(g, F.sort_array(F.transform(again, lambda e: e["i"]))).drop(z)
+    covered = F.transform(g, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(F.col(g), k + 1) - p, F.lit(3))))
+    total = F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda s, v: s + v), F.lit(0).cast("long"))
     # a filter on this column must not be pushed below the columns above, which would put their expressions into its lambdas
-    return a.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, total).otherwise(total)).drop("_again")
+    return a.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, total).otherwise(total)).drop(g)
 
 
 def base_failed() -> Column:
