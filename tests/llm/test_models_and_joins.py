@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -43,6 +44,45 @@ def test_phrases_equal_a_greedy_parse():
         assert cost[0, k] == pytest.approx(n * model.bits[k] / len(symbols))
 
 
+@pytest.mark.parametrize(("cells", "segment"), [(24_000_000, 2048), (24_000_000, 3), (0, 2048), (0, 1)])
+def test_long_texts_and_large_alphabets_are_parsed_alike(monkeypatch, cells, segment):
+    monkeypatch.setattr(langid, "MOST_CELLS", cells)
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    pick = random.Random(1)
+    made = lambda n, letters: "".join(pick.choice(letters) for _ in range(n))
+    known = {"a": made(600, "abcde "), "b": made(700, "cdefgh "), "c": "x" * 50 + " yy"}
+    model = langid.Model({k: [t] for k, t in known.items()})
+    texts = [made(pick.randint(0, 250), "abcdefgh xz") for _ in range(25)] + ["", "x" * 400, "q"]
+    cost, _ = model.costs(texts)
+    for i, t in enumerate(texts):
+        s = langid.folded([t])[0].tolist()
+        for k, lang in enumerate("abc"):
+            held = "".join(map(chr, [*langid.folded([known[lang]])[0].tolist(), 0]))
+            n = j = 0
+            while j < len(s):
+                end = j + 1
+                while end < len(s) and "".join(map(chr, s[j : end + 1])) in held:
+                    end += 1
+                n, j = n + 1, end
+            assert cost[i, k] == pytest.approx(n * model.bits[k] / max(1, len(s)))
+
+
+def test_language_tables_of_many_languages_stay_small():
+    pick = random.Random(2)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    model = langid.Model({f"l{k}": ["".join(pick.choice(letters if k < 3 else "abcdefghij ") for _ in range(4000))] for k in range(20)})
+    size = lambda t: t.cells.nbytes if isinstance(t, langid.DenseTable) else t.arcs.keys.nbytes + t.arcs.rows.nbytes + t.root.nbytes
+    assert sum(map(size, model.tables)) + model.code.nbytes < 40_000_000
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, "ab " * 3, "x", "s", 1)] * 50 + [(i, f"cd{i} " * 100, "y", "s", 1) for i in range(2, 300)] + [(500, "ef " * 5000, "z", "s", 1), (503, None, "z", "s", 1), (None, "gh", "z", "s", 1)]
+    got = langid.training_text(spark.createDataFrame(rows, DOC), most_docs=10, most_symbols=3000)
+    held_out = {i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1}
+    assert got.get("x") == (None if 1 in held_out else ["ab " * 3]) and 0 < sum(map(len, got["y"])) <= 3000
+    assert got.get("z") == (None if 500 in held_out else ["ef " * 5000])
+
+
 def test_op1_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = registry.QUERIES["op1_language_id"](spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -65,10 +105,8 @@ def test_op9_held_out(spark):
     got = registry.QUERIES["op9_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
     assert len(toxic) > 50
-    # only some 300 toxic rows teach here; README has the figures for more
-    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.96 * len(got)
-    assert sum(r["predicted"] for r in toxic) >= 0.75 * len(toxic)
-    assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)
+    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
 
 
@@ -83,6 +121,29 @@ def test_toxicity_on_misspellings_and_odd_texts(odd_docs, no_docs):
     assert toxicity.Scorer(*toxicity.train(["a"], [0])).score(["a b"])[0] == 0
 
 
+def test_scores_by_brute_force():
+    texts = [f"word{i} you are an idiot and a moron ok" for i in range(40)] + [f"word{i} you are an honest and good one ok" for i in range(80)]
+    value, bias = toxicity.train(texts, [1] * 40 + [0] * 80)
+    given = ["You are an IDIOTT, moron!", "a", "idiot idiot idiot idiot good", "x " * 500 + "moron", "", "--", *texts[::17]]
+    got = toxicity.Scorer(value, bias).score(given)
+    for t, s in zip(given, got, strict=True):
+        each = []
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            cp, starts, lengths, _ = toxicity.words_of([w])
+            grams, n = toxicity.ngrams(cp, starts, lengths)
+            assert n[0] == 1 + sum(max(0, len(w) + 2 - k + 1) for k in (3, 4, 5))
+            each.append(sum(value[g] for g in grams) / max(toxicity.LEAST_GRAMS, len(grams)))
+        best = sorted(each)[-toxicity.TOP :]
+        assert s == pytest.approx(1 / (1 + np.exp(-(sum(best) / len(best) + bias))) if best else 0)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(2, "a", "", "", 1)] * 100 + [(3, "b", "", "", 1), (3, "c", "", "", 1), (5, "d" * 30_000, "", "", 1), (6, None, "", "", 1), (None, "e", "", "", 1)] + [(i, f"t{i}", "", "", 1) for i in range(100, 400)], DOC)
+    labels = spark.createDataFrame([(2, 1), (2, 1), (3, 0), (5, 1), (6, 1), (None, 1)] + [(i, i % 2) for i in range(100, 400)], "doc_id long, toxic int")
+    texts, toxic = toxicity.labelled_sample(docs, labels, most_each=20)
+    assert sum(toxic) == 20 and len(toxic) == 60 and not set(texts) & {"d" * 30_000, "e"} and texts.count("a") <= 1
+
+
 def test_toxic_phrase_counts_alike_at_every_place():
     texts = [f"word{i} you are an idiot and a moron ok" for i in range(40)] + [f"word{i} you are an honest and good one ok" for i in range(80)]
     scorer = toxicity.Scorer(*toxicity.train(texts, [1] * 40 + [0] * 80))
@@ -140,10 +201,25 @@ def test_op8_recall(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     assert sorted(got) == sorted(want) and all(len(x) == 20 for x in got.values())
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
-    index = ann.Index(np.random.default_rng(3).normal(size=(9000, 32)))
-    found = index.search(index.vectors[7], 20)
-    best = np.argsort(-(index.vectors @ index.vectors[7]))[:20]
-    assert len(found) < 6000 and len(set(found) & set(best)) >= 16
+
+
+@pytest.mark.parametrize(("rows", "size"), [(2000, 16), (9000, 32), (9000, 64)])
+def test_collisions_leave_few_to_verify(rows, size):
+    index = ann.Index(np.random.default_rng(3).normal(size=(rows, size)))
+    hits = checked = 0
+    for q in range(40):
+        found = index.search(index.vectors[q], 20)
+        hits += len(set(found) & set(np.argsort(-(index.vectors @ index.vectors[q]))[:20]))
+        checked += len(found)
+    assert hits >= 0.9 * 20 * 40 and checked <= 0.5 * rows * 40
+
+
+def test_op8_repeated_queries(spark):
+    v = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (3, [0.0, 5.0]), (3, [0.0, 5.0]), (2**53 + 1, [1.0, 1.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id = 0"), k=2, block_rows=3).collect())
+    # two different vectors of id 0, each with a list of its own; the row that comes twice is asked once
+    assert got == [(0, 1, 1, 2.0), (0, 1, 3, 5.0), (0, 2, 3, 5.0), (0, 2, 2**53 + 1, 1.0)] or got == sorted([(0, 1, 1, 2.0), (0, 2, 2**53 + 1, 1.0), (0, 1, 3, 5.0), (0, 2, 3, 5.0)])
 
 
 def test_op8_odd(spark):
@@ -244,6 +320,33 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in clean.collect()}
 
 
+BIG = 2**53 + 1
+
+
+def test_large_ids_beside_nulls(spark, sf_dir):
+    import public_tokenizers
+
+    from siftwell.llm import bpe, packing, secrets
+
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(BIG, text, "en", "s", 1), (None, text + " eight", "en", "s", 1), (BIG + 1, text, "en", "s", 1), (None, "x", "en", "s", 1)], DOC).coalesce(1)
+    tokens = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = [
+        langid.predict(docs, {"en": ["one two"]}),
+        packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")),
+        urlfilter.judge(docs.selectExpr("doc_id AS page_id", "text AS url")).withColumnRenamed("page_id", "doc_id"),
+        jaccard.join(docs),
+        bpe.encode_decode(docs, tokens),
+        bpe.token_ids(docs, tokens),
+        secrets.find(docs),
+        toxicity.score(docs, toxicity.train(["a"], [0])),
+        pii.find(docs),
+    ]
+    for df in found:
+        assert sorted((r["doc_id"] for r in df.collect()), key=str) == [BIG, BIG + 1, None, None], df.columns
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()} == {BIG: BIG, BIG + 1: BIG, None: None}
+
+
 def test_near_duplicates_of_rows(spark, no_docs):
     a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "to be or not to be that is")
     rows = [(3, a)] * 40 + [(None, a), (None, a), (5, a), (None, b), (None, b), (7, c), (6, c), (6, a), (8, "x y"), (9, None), (9, "")]
@@ -254,8 +357,24 @@ def test_near_duplicates_of_rows(spark, no_docs):
     assert corpus_pipeline.near_duplicates(spark, no_docs, "").count() == 0
 
 
+CLASHES = "score lang_pred _text _words _lines _windows _sorted _again n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept rule pii row row_key component_id n_shingles rid text_ deal block".split()
+
+
+def test_pipeline_keeps_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")) for c in CLASHES})
+    plain = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        rows = got.collect()
+        assert all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in CLASHES), name
+        assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in rows) == sorted(tuple(r) for r in stage(spark, plain, sf_dir).select("doc_id", "text", "n_chars").collect()), name
+    packed = corpus_pipeline.best_fit_packing(spark, docs, sf_dir)
+    assert packed.where("piece = 0").count() == docs.count()
+
+
 def test_pipeline_odd(spark, odd_docs, no_docs, tmp_path):
-    odd_docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     for _, stage in corpus_pipeline.STAGES:
