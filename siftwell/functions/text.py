@@ -55,8 +55,8 @@ def preview(c: Column) -> Column:
 
 
 def normalised_layout(c: Column) -> Column:
-    """Bullets as dashes, at most one empty line, single blanks, stripped."""
-    c = F.regexp_replace(c, "•", "-")
+    """Each bullet as an item on a line of its own, at most one empty line, single blanks, stripped."""
+    c = F.regexp_replace(c, "•", "\n* ")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")
     return strip(F.regexp_replace(c, " {2,}", " "))
 
@@ -87,6 +87,49 @@ def slug(path: Column) -> Column:
     return F.replace(F.regexp_replace(F.regexp_replace(path, "/+$", ""), "^/+", ""), F.lit("/"), F.lit("_"))
 
 
+def joined_bullets(c: Column) -> Column:
+    """In each line, what follows a dash and a blank: its first two ``<br>`` become ``: `` and ``. ``, blanks are single.
+
+    Parts without text are left out, and so is a ``<br>`` at the end of the line.
+    """
+    single = lambda x: strip(F.regexp_replace(x, r"(?U)\s+", " "))
+
+    def one(line: Column) -> Column:
+        before, item = (F.regexp_extract(line, r"(?U)^(.*?)(-[^\S\n].*)$", k) for k in (1, 2))
+        parts = F.filter(F.transform(F.split(F.regexp_replace(item, "<br>$", ""), "<br>", 3), single), lambda x: x != "")
+        shown = F.concat(F.get(parts, F.lit(0)), *(F.coalesce(F.concat(F.lit(mark), F.get(parts, F.lit(k))), F.lit("")) for k, mark in ((1, ": "), (2, ". "))))
+        return F.when((item != "") & (F.size(parts) > 0), F.concat(before, shown)).otherwise(line)
+
+    return F.array_join(F.transform(F.split(F.regexp_replace(c, r"(?U)<br>\s+<br>", "<br>"), "\n", -1), one), "\n")
+
+
+def without_link_pipes(c: Column) -> Column:
+    """No links whose text stands between bars, plain blanks, joined bullets, bars without their backslash, stripped."""
+    c = F.regexp_replace(F.replace(c, F.lit("\xa0"), F.lit(" ")), r"(?s)\[\s*\|\s*.*?\|\s*\]\(.*?\)", "")
+    return strip(F.replace(joined_bullets(c), F.lit("\\|"), F.lit("|")))
+
+
+def bearer_token(header: Column) -> Column:
+    """The token of an authorization header of that scheme, else null."""
+    token = F.regexp_extract(header, r"(?s)^(?i:bearer) (.+)$", 1)
+    return F.when(token != "", token)
+
+
+def capitalised(c: Column) -> Column:
+    """The first character in upper case, the others in lower case."""
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+
+
+def iso_time(c: Column) -> Column:
+    """A timestamp from ISO 8601 text, with or without zone; null where it is none."""
+    return F.try_to_timestamp(c)
+
+
+def day_text(c: Column) -> Column:
+    """A timestamp as a day, with the name of the weekday."""
+    return F.date_format(c, "yyyy-MM-dd EEEE")
+
+
 def file_extension(name: Column) -> Column:
     """From the last dot on, empty for names that only begin with dots."""
     return F.regexp_extract(name, r"[^.].*(\.[^.]*)$", 1)

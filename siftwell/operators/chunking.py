@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import clean_text, html_escape
@@ -34,7 +34,7 @@ def prefix_large(content: Column, number: Column, url: Column, title: Column) ->
     return F.concat(F.coalesce(tag, F.lit("")), content)
 
 
-def prefix_map(content: Column, url: Column, hint: str = "This is an entry pointing to some room") -> Column:
+def prefix_map(content: Column, url: Column, hint: str = "This is a entry pointing to some room") -> Column:
     """The one chunk of a map entry: cleaned, whole, directly behind its tag."""
     tag = F.concat(F.lit('<chunk chunk_number=0 location_url="'), html_escape(url), F.lit(f'" hint="{hint}">'))
     return F.concat(F.coalesce(tag, F.lit("")), clean_text(F.coalesce(content, F.lit(""))))
@@ -50,7 +50,30 @@ def index_rows(docs: DataFrame, resource: str) -> DataFrame:
     return parts.select(F.lit(resource).alias("resource"), F.col("id").alias("mongo_id"), "chunk_number", prefix_large(F.col("content"), F.col("chunk_number"), F.col("source_url"), F.col("source_page_title")).alias("content"))
 
 
-def write_index(rows: DataFrame, path: str) -> DataFrame:
-    """Replaces the partitions of the sources in ``rows`` and no others; returns the rows without vectors."""
+#: What the index holds.
+INDEX = "resource string, mongo_id string, chunk_number int, content string, embedding array<float>"
+
+
+def write_index(rows: DataFrame, path: str, resource: str | None = None) -> DataFrame:
+    """Replaces the partitions of the sources in ``rows`` and no others; returns the rows without vectors.
+
+    A ``resource`` that is named is replaced also where no row of it is left.
+    """
+    spark = rows.sparkSession
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("resource").parquet(path)
-    return rows.sparkSession.read.parquet(path).drop("embedding")
+    if resource is not None and rows.where(F.col("resource") == resource).isEmpty():
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/resource={resource}")
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return spark.read.schema(rows.schema).parquet(path).drop("embedding")
+
+
+def read_index(spark: SparkSession, path: str, sources: list[str] | None = None) -> DataFrame:
+    """The index's chunks of the given sources; those that were never indexed, or an index that is not there, give none."""
+    try:
+        found = spark.read.schema(INDEX).parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = spark.createDataFrame([], INDEX)
+    found = found.select("resource", "mongo_id", "chunk_number", "content", "embedding")
+    return found if sources is None else found.where(F.col("resource").isin(sources))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwell.functions.text import clean_text, preview
 
@@ -19,7 +22,7 @@ def hydrate_pages(hits: DataFrame, docs: DataFrame, resource: str, path: str = "
     content = F.coalesce(F.col("content"), F.lit(""))
     text = preview(content) if path == "vector" else content if resource in ("maps", "resources") else clean_text(content)
     own = hits.where(F.col("resource") == resource).select("query_id", "score", F.col("mongo_id").alias("id"))
-    return own.join(docs, "id").select("query_id", "score", F.lit(resource).alias("type"), F.coalesce(F.col(title), F.lit("-")).alias("display_name"), F.col(url).alias("url"), text.alias("preview_text"), F.array(F.lit(resource), F.col(title)).alias("breadcrumbs"))
+    return own.join(docs, "id").select("query_id", "score", F.lit(resource).alias("type"), F.coalesce(F.col(title), F.lit("-")).alias("display_name"), F.col(url).alias("url"), text.alias("preview_text"), F.array(F.lit(resource), F.col(title)).alias("breadcrumbs"), (F.col("resource_type") if "resource_type" in docs.columns else F.lit(None).cast("string")).alias("resource_type"))
 
 
 def course_of(fullname: Column) -> Column:
@@ -49,6 +52,24 @@ def hydrate_courses(hits: DataFrame, entries: DataFrame, base_url: str = LMS_URL
     return shape_course_rows(own.join(entries, "id"), base_url)
 
 
+#: One row type for all that is found; what a type does not have is null.
+FOUND = "query_id long, score double, type string, display_name string, url string, link string, object_key string, resource_type string, preview_text string, breadcrumbs array<string>"
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """Rows of ``hydrate_pages`` or ``hydrate_courses`` as the one row type, told apart by ``type``; any of them unite."""
+    kinds = T._parse_datatype_string(FOUND)
+    return rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields))
+
+
+def hydrate(hits: DataFrame, collections: dict[str, DataFrame], path: str = "vector", base_url: str = LMS_URL) -> DataFrame:
+    """Hits of all sources joined to their documents, as one row type; sources without a collection give nothing. Best first."""
+    parts = [tagged(hydrate_courses(hits, docs, base_url) if name == "moodle" else hydrate_pages(hits, docs, name, path)) for name, docs in collections.items()]
+    if not parts:
+        raise ValueError("no collections")
+    return by_score(functools.reduce(DataFrame.unionByName, parts), "type", "display_name", "url")
+
+
 def by_score(rows: DataFrame, *ties: str) -> DataFrame:
     return rows.orderBy(F.col("score").desc(), *ties)
 

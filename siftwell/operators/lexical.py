@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.session import written
+
 K1, B = 1.2, 0.75
+#: Query terms that are sent to every task; more are joined by a shuffle.
+MOST_SENT = 200_000
 #: The text fields that each source's index covers.
 TEXT_FIELDS = {
     "campuslife": ("source_page_title", "content"),
@@ -31,10 +37,17 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc, score), best first, ties by id; ``limit`` of 0 or less keeps all. Query terms are OR-ed, each once."""
-    size = docs.select(F.size(terms(F.col(text_col))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")), "asked")
     wanted = asked.select("term").distinct()
-    held = postings(docs, id_col, text_col).join(wanted, "term", "left_semi")
+    # texts are cut into terms once: to the postings of the wanted terms, and one row without a term for each document
+    cut = docs.select(F.col(id_col).alias("doc"), terms(F.col(text_col)).alias("t"))
+    each = cut.select("doc", F.size("t").alias("length"), F.explode(F.array_append("t", F.lit(None).cast("string"))).alias("term"))
+    known = wanted.withColumn("known", F.lit(True))
+    known = F.broadcast(known) if asked.count() <= MOST_SENT else known
+    kept = each.join(known, "term", "left").where(F.col("known") | F.col("term").isNull())
+    seen = written(kept.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("length").alias("length")), "postings")
+    size = seen.where(F.col("term").isNull()).agg(F.sum("tf").alias("docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    held = seen.where(F.col("term").isNotNull())
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     stats = df.join(F.broadcast(size)).select("term", "mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -58,11 +71,19 @@ def lexical_search(collections: dict[str, DataFrame], queries: DataFrame, sectio
     return found.withColumn("final_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "resource", "doc")))
 
 
-def with_fallback(vector, lexical):
-    """The vector path's rows, or the lexical path's where it fails with an error of connection or execution."""
+def with_fallback(vector: Callable[[], DataFrame], lexical: Callable[[], DataFrame]) -> DataFrame:
+    """The vector path's rows, or the lexical path's where it fails with an error of connection or execution.
+
+    The vector path is run here, to a table, since a plan that is only made fails too late for another one.
+    """
     from pyspark.errors import PySparkException
 
     try:
-        return vector()
+        return written(vector(), "hits")
     except (ConnectionError, TimeoutError, PySparkException):
         return lexical()
+
+
+def scored(rows: DataFrame, score: str = "score") -> DataFrame:
+    """Rows as (score, inner): what was found apart from how well."""
+    return rows.select(F.col(score).alias("score"), F.struct(*(c for c in rows.columns if c != score)).alias("inner"))

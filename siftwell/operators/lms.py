@@ -25,16 +25,17 @@ def carry_forward(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Null times equal null times. The order of contents is kept; of equal stored names the last counts.
     """
-    key = ["course_id", "module_id", "filename"]
-    kept = stored.select("course_id", "module_id", F.posexplode("contents").alias("pos", "c")).select("course_id", "module_id", F.col("c.filename").alias("filename"), "pos", F.struct("c.timecreated", "c.timemodified", "c.uploaded").alias("s"))
-    kept = kept.groupBy(*key).agg(F.max_by("s", "pos").alias("s"))
-    new = incoming.select("course_id", "module_id", F.posexplode("contents").alias("pos", "c")).withColumn("filename", F.col("c.filename"))
-    same = F.col("s").isNotNull() & F.col("c.timecreated").eqNullSafe(F.col("s.timecreated")) & F.col("c.timemodified").eqNullSafe(F.col("s.timemodified"))
-    content = F.col("c").withField("uploaded", F.when(same, F.col("s.uploaded")).otherwise(F.col("c.uploaded")))
-    each = new.join(kept, key, "left").select("course_id", "module_id", F.struct("pos", content.alias("c")).alias("x"))
-    rebuilt = each.groupBy("course_id", "module_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["c"]).alias("contents"))
-    whole = incoming.drop("contents").join(rebuilt, ["course_id", "module_id"], "left")
-    return whole.withColumn("contents", F.coalesce("contents", F.array().cast(incoming.schema["contents"].dataType))).select(incoming.columns)
+    # a module is one row on either side (``upsert`` sees to it), so its files meet in one join, without being exploded
+    held = stored.select("course_id", "module_id", F.col("contents").alias("_held"))
+
+    def kept(c: Column) -> Column:
+        s = F.get(F.slice(F.filter("_held", lambda x: x["filename"] == c["filename"]), -1, 1), F.lit(0))
+        same = s.isNotNull() & c["timecreated"].eqNullSafe(s["timecreated"]) & c["timemodified"].eqNullSafe(s["timemodified"])
+        return c.withField("uploaded", F.when(same, s["uploaded"]).otherwise(c["uploaded"]))
+
+    whole = incoming.join(held, ["course_id", "module_id"], "left")
+    none = F.array().cast(incoming.schema["contents"].dataType)
+    return whole.withColumn("contents", F.coalesce(F.transform("contents", kept), none)).select(incoming.columns)
 
 
 def upsert_modules(target: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -2,18 +2,87 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import is_no_info, strip
+from siftwell.session import ship, written
 
 DEFAULT_SOURCES = ("moodle", "hotel", "eduwiki", "campuslife", "clubs")
 
 
 def log_rows(results: DataFrame, queries: DataFrame) -> DataFrame:
-    """A row for each query, to append to the log: (id, query, wrapped_responses, created_at), responses in final order."""
+    """A row for each query, to append to the log: (id, query, wrapped_responses, time_spent, created_at), responses in final order.
+
+    ``time_spent`` comes from ``queries`` where they have it, in seconds.
+    """
+    spent = F.col("time_spent").cast("double") if "time_spent" in queries.columns else F.lit(None).cast("double")
     responses = results.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("final_rank", F.struct("source", "score", F.lit(None).cast("string").alias("user_feedback")).alias("r")))).alias("x"))
-    return queries.join(responses, "query_id", "left").select(F.col("query_id").alias("id"), "query", F.coalesce(F.transform("x", lambda x: x["r"]), F.array()).alias("wrapped_responses"), F.current_timestamp().alias("created_at"))
+    return queries.join(responses, "query_id", "left").select(F.col("query_id").alias("id"), "query", F.coalesce(F.transform("x", lambda x: x["r"]), F.array()).alias("wrapped_responses"), spent.alias("time_spent"), F.current_timestamp().alias("created_at"))
+
+
+def answer_rows(answers: DataFrame, payload: list[str]) -> DataFrame:
+    """Rows of the ask and act logs: (id, time_spent, created_at, responses), the payload columns as JSON."""
+    return answers.select(F.col("query_id").alias("id"), F.col("time_spent").cast("double").alias("time_spent"), F.current_timestamp().alias("created_at"), F.to_json(F.struct(*payload)).alias("responses"))
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds rows to a log, a folder a day, so that readers of some days skip the others."""
+    rows.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+
+
+def timed(run: Callable[[], DataFrame]) -> DataFrame:
+    """What ``run`` gives, computed here, with the seconds that this took as ``time_spent``."""
+    began = time.monotonic()
+    done = written(run(), "timed")
+    return done.withColumn("time_spent", F.lit(time.monotonic() - began))
+
+
+def sources_or_default(sources: list[str] | None) -> list[str]:
+    """The sources that are asked for; without any, those that answers come from."""
+    return list(sources or DEFAULT_SOURCES)
+
+
+def rewrite_prompt(history: Column, query: Column) -> Column:
+    """The request to make a follow-up question stand alone; fixed text."""
+    head = "Given the following conversation and a follow up question, rephrase the follow up question to be a standalone question, in its original language.\n\nKeep as much details as possible from previous messages. Keep entity names and all.\n\n"
+    told = F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("Chat History:\n"), history, F.lit("\n"))).otherwise("")
+    return F.concat(F.lit(head), told, F.lit("Follow Up Input: "), query, F.lit("\nStandalone question:"))
+
+
+def completed(df: DataFrame, prompt_col: str, out_col: str, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
+    """``df`` with what a language model gives for each prompt, in Arrow batches; a prompt without an answer fails the job."""
+    ship(df.sparkSession)
+    schema = df.drop(out_col).schema.add(out_col, "string")
+    at = df.columns.index(prompt_col)
+    kept = [k for k, c in enumerate(df.columns) if c != out_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = model(batch.column(at).to_pylist())
+            if any(x is None for x in found):
+                raise RuntimeError("the model gave no answer")
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([x.strip() for x in found], pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def rewritten(queries: DataFrame, histories: DataFrame, model: Callable[[list[str]], list[str | None]] | None = None) -> DataFrame:
+    """(query_id, query, original, history): queries that stand alone; without a model they stay as they are."""
+    known = queries.join(histories.select("query_id", "history"), "query_id", "left").withColumn("original", F.col("query"))
+    if model is None:
+        return known.select("query_id", "query", "original", "history")
+    asked = completed(known.withColumn("_prompt", rewrite_prompt(F.col("history"), F.col("query"))), "_prompt", "_answer", model)
+    return asked.select("query_id", F.col("_answer").alias("query"), "original", "history")
+
+
+def no_result_prompt(query: Column) -> Column:
+    """What is asked when nothing was found; fixed text."""
+    return F.concat(query, F.lit("\n\nNo information was found in the provided contexts. Please apologize and state this strictly in the same language as the question above."))
 
 
 def apply_feedback(log: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,10 +146,15 @@ def gate_results(answer: Column, results: Column) -> Column:
     return F.when(is_no_info(answer), F.slice(results, 1, 0)).otherwise(results)
 
 
-def group_texts(rows: DataFrame, buckets: list[str], bucket: Column, other: str, position: str, text: str) -> DataFrame:
-    """(bucket, text) for every bucket, empty ones too: texts in order, an empty line after each; unknown kinds go to ``other``."""
+def group_texts(rows: DataFrame, buckets: list[str], bucket: Column, other: str, position: str, text: str, every: str | None = None) -> DataFrame:
+    """(bucket, text) for every bucket, empty ones too: texts in order, an empty line after each; unknown kinds go to ``other``.
+
+    ``every`` names one more bucket that takes all rows.
+    """
     spark = rows.sparkSession
     kind = F.when(bucket.isin(buckets), bucket).otherwise(F.lit(other))
+    if every is not None:
+        rows, kind, buckets = rows.withColumn("_bucket", F.explode(F.array(kind, F.lit(every)))), F.col("_bucket"), [*buckets, every]
     joined = rows.groupBy(kind.alias("bucket")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(position, text))), lambda x: F.concat(x[text], F.lit("\n\n"))), "").alias("content"))
     fixed = spark.createDataFrame([(b,) for b in buckets], "bucket string")
     return fixed.join(joined, "bucket", "left").select("bucket", F.coalesce("content", F.lit("")).alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -17,18 +18,20 @@ from siftwell.session import ship
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _slot(word: str, dim: int) -> int:
+    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+    return (h >> 1) % dim + dim * (h & 1)
+
+
 def hashed_embedding(texts: list[str], dim: int = 256) -> list[np.ndarray | None]:
     """Signed hashing of lower-cased tokens, L2-normalised; None for texts without a token."""
-    known: dict[str, tuple[int, int]] = {}
     out: list[np.ndarray | None] = []
     for t in texts:
-        v = np.zeros(dim)
-        for w in _TOKEN.findall((t or "").lower()):
-            if w not in known:
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-                known[w] = (h >> 1) % dim, 1 - 2 * (h & 1)
-            i, s = known[w]
-            v[i] += s
+        # numbers of 0 to 2 dim - 1: a place, and its sign in the upper half
+        found = np.fromiter((_slot(w, dim) for w in _TOKEN.findall((t or "").lower())), np.int64)
+        both = np.bincount(found, minlength=2 * dim).astype(float)
+        v = both[:dim] - both[dim:]
         size = np.sqrt(v @ v)
         out.append((v / size).astype(np.float32) if size else None)
     return out

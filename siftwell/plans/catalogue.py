@@ -296,7 +296,7 @@ def distinct_names(spark, sf_dir):
 
 
 _COURSES = "('[S25] A'),('[s25] B'),('[Sum24] C'),('[SUM 24] D'),('[F24-MFAI] E'),('[F24-S25] F'),('[F 24-S25] G'),('[IBC23] H'),('[F20] I'),('J'),('J')"
-_ONE, _TWO = r"(?i)\[((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?\]", r"(?i)\[((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?-((?:[FS]|SUM|IBC)\s?\d{2})(?:-MFAI)?\]"
+_ONE, _TWO = lms.SINGLE, lms.DOUBLE
 
 
 @query(f"""
@@ -311,12 +311,12 @@ def semester_grouping(spark, sf_dir):
 
 
 @query("""
-WITH b(bucket) AS (VALUES ('system'), ('user'), ('assistant'), ('tool'))
-SELECT bucket, coalesce(string_agg(text || chr(10) || chr(10), '' ORDER BY conv_id, turn), '') AS content FROM b LEFT JOIN conversations ON role = bucket GROUP BY bucket
+WITH b(bucket) AS (VALUES ('system'), ('user'), ('assistant'), ('tool'), ('all'))
+SELECT bucket, coalesce(string_agg(text || chr(10) || chr(10), '' ORDER BY conv_id, turn), '') AS content FROM b LEFT JOIN conversations ON role = bucket OR bucket = 'all' GROUP BY bucket
 """)
 def bucket_concat_rollup(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").withColumn("position", F.struct("conv_id", "turn"))
-    return logs.group_texts(rows, ["system", "user", "assistant", "tool"], F.col("role"), "tool", "position", "text")
+    return logs.group_texts(rows, ["system", "user", "assistant", "tool"], F.col("role"), "tool", "position", "text", every="all")
 
 
 _PATHS = "('moodle/1/2/file1.pdf'),('moodle/11/22/file2.pdf'),('moodle/blabla/fa/file.pdf'),('moodle/incomplete/path'),('moodle/1/2/dir/f.pdf')"
@@ -428,7 +428,7 @@ def retrieve_pipeline(spark, sf_dir):
     embed = models.embedder()
     rows = chunking.chunk(read(spark, sf_dir, "documents").select("doc_id", "source", "text")).select((F.col("doc_id") * 100_000 + F.col("chunk_number")).alias("chunk_id"), F.col("source").alias("resource"), F.col("doc_id").cast("string").alias("mongo_id"), "content")
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return ranking.retrieve(embed(rows, "content"), asked, embed, models.overlap_reranker).select("query_id", "final_rank", "resource", "mongo_id", "score")
+    return ranking.retrieve(embed(rows, "content"), asked, embed, models.overlap_reranker, contents=rows).select("query_id", "final_rank", "resource", "mongo_id", "score")
 
 
 @query()

@@ -28,20 +28,38 @@ def read_collection(spark: SparkSession, root: str, source: str) -> DataFrame:
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
+        # a refresh that was stopped between its two moves left the former collection under its second name
+        fs, path = _files(spark, root)
+        kept = fs.globStatus(path(f"{root}/.{source}-former-*"))
+        if kept is not None and len(kept):
+            return spark.read.schema(SOURCES[source]).parquet(kept[0].getPath().toString())
         return spark.createDataFrame([], SOURCES[source])
 
 
+def _files(spark: SparkSession, root: str):
+    """The file system that holds ``root``, and its class of paths."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def refresh(df: DataFrame, root: str, source: str) -> str:
-    """Replaces a collection: written beside it first, then moved into its place, so a failed write changes nothing."""
-    spark = df.sparkSession
-    staged, final = f"{root}/.{source}-{uuid.uuid4().hex}", f"{root}/{source}"
+    """Replaces a collection: written beside it first, then the former one is moved aside and the new one into its place.
+
+    A failed write changes nothing; the former collection is deleted last, and readers find it wherever the moves were stopped.
+    """
+    name = uuid.uuid4().hex
+    staged, former, final = f"{root}/.{source}-{name}", f"{root}/.{source}-former-{name}", f"{root}/{source}"
     df.write.parquet(staged)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(final).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(final), True)
+    fs, path = _files(df.sparkSession, root)
+    had = fs.exists(path(final))
+    if had and not fs.rename(path(final), path(former)):
+        raise OSError(f"cannot move {final}")
     if not fs.rename(path(staged), path(final)):
+        if had:
+            fs.rename(path(former), path(final))
         raise OSError(f"cannot move {staged} to {final}")
+    for old in fs.globStatus(path(f"{root}/.{source}-former-*")) or []:
+        fs.delete(old.getPath(), True)
     return final
 
 

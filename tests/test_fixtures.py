@@ -21,7 +21,7 @@ def test_escape_preview_layout(spark):
     assert one(spark, "a&b<c>\"d'", tx.html_escape) == "a&amp;b&lt;c&gt;&quot;d&#x27;"
     assert one(spark, "# T\n\nline3\x0bline4\r\nl5 l6\x1cl7\n", tx.preview) == "line3\nline4\nl5\nl6\nl7"
     assert one(spark, "only", tx.preview) == ""
-    assert one(spark, "• a\n\n\n\nb   c ", tx.normalised_layout) == "- a\n\nb c"
+    assert one(spark, "• a\n\n\n\nb   c ", tx.normalised_layout) == "* a\n\nb c"
     assert one(spark, "1.2: Title", tx.without_index) == "Title"
     assert one(spark, "/en/a/b/", tx.slug) == "en_a_b"
     assert [one(spark, x, tx.file_extension) for x in ("a.tar.gz", ".bashrc", "a")] == [".gz", "", ""]
@@ -121,7 +121,14 @@ def test_lexical_limit_and_sections(spark):
     def down():
         raise ConnectionError
 
-    assert lexical.with_fallback(down, lambda: "lexical") == "lexical"
+    def late():  # a plan that fails when it is run
+        return asked.select(F.raise_error(F.lit("down")).alias("doc"))
+
+    found = asked.select(F.lit("vector").alias("doc"))
+    for f, wanted in ((down, "lexical"), (late, "lexical"), (lambda: found, "vector")):
+        assert lexical.with_fallback(f, lambda: asked.select(F.lit("lexical").alias("doc"))).first()["doc"] == wanted
+    row = lexical.scored(spark.createDataFrame([("a", 0.5)], "doc string, score double")).first()
+    assert (row["score"], row["inner"]["doc"]) == (0.5, "a")
 
 
 def test_course_rows(spark):
