@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from siftwell.functions.text import is_no_info, strip
 from siftwell.session import ship, written
 
+#: What a language model is told; fixed values.
+REWRITE = "Given the following conversation and a follow up question, rephrase the follow up question to be a standalone question, in its original language.\n\nKeep as much details as possible from previous messages. Keep entity names and all.\n\n"
+NOTHING_FOUND = "\n\nNo information was found in the provided contexts. Please apologize and state this strictly in the same language as the question above."
+#: Where answers come from if no source is named; fixed values.
 DEFAULT_SOURCES = ("moodle", "hotel", "eduwiki", "campuslife", "clubs")
 
 
@@ -48,10 +52,9 @@ def sources_or_default(sources: list[str] | None) -> list[str]:
 
 
 def rewrite_prompt(history: Column, query: Column) -> Column:
-    """The request to make a follow-up question stand alone; fixed text."""
-    head = "Given the following conversation and a follow up question, rephrase the follow up question to be a standalone question, in its original language.\n\nKeep as much details as possible from previous messages. Keep entity names and all.\n\n"
+    """The request to make a follow-up question stand alone."""
     told = F.when(F.coalesce(history, F.lit("")) != "", F.concat(F.lit("Chat History:\n"), history, F.lit("\n"))).otherwise("")
-    return F.concat(F.lit(head), told, F.lit("Follow Up Input: "), query, F.lit("\nStandalone question:"))
+    return F.concat(F.lit(REWRITE), told, F.lit("Follow Up Input: "), query, F.lit("\nStandalone question:"))
 
 
 def completed(df: DataFrame, prompt_col: str, out_col: str, model: Callable[[list[str]], list[str | None]]) -> DataFrame:
@@ -81,8 +84,8 @@ def rewritten(queries: DataFrame, histories: DataFrame, model: Callable[[list[st
 
 
 def no_result_prompt(query: Column) -> Column:
-    """What is asked when nothing was found; fixed text."""
-    return F.concat(query, F.lit("\n\nNo information was found in the provided contexts. Please apologize and state this strictly in the same language as the question above."))
+    """What is asked when nothing was found."""
+    return F.concat(query, F.lit(NOTHING_FOUND))
 
 
 def apply_feedback(log: DataFrame, feedback: DataFrame) -> tuple[DataFrame, DataFrame]:

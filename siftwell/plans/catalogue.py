@@ -416,6 +416,107 @@ def table_to_list(spark, sf_dir):
     return values(spark, "('h1;h2;h3', 'a;;c'), ('h1;h2;h3', 'a;b;c;d') AS t(h, b)").select(feeds.table_to_list(F.col("h"), F.col("b")).alias("content"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '•', chr(10) || '* ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS content FROM (SELECT doc_id, replace(replace(text, ',', '•'), '. ', chr(10) || chr(10) || chr(10) || '   ') AS text FROM documents WHERE NOT regexp_matches(text, '[\\x1c-\\x1f\\x{85}]|[^\\P{Z} ]'))")
+def normalised_layout(spark, sf_dir):
+    """Documents with commas as bullets and long gaps after sentences; texts with other white space than ASCII's are left to the fixtures."""
+    d = read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x1c-\x1f\x85]|[^\P{Z} ]"))
+    made = F.replace(F.replace("text", F.lit(","), F.lit("•")), F.lit(". "), F.lit("\n\n\n   "))
+    return d.select("doc_id", tx.normalised_layout(made).alias("content"))
+
+
+_TEXTS = "('- a <br> <br>b  c<br>d<br>', 'bearer t', 'ENGLISH', 'a.tar.gz'), ('x - y<br>z', 'Basic t', 'r', '.bashrc'), ('- <br>', 'Bearer', '', 'a')"
+
+
+@query("SELECT * FROM (VALUES ('- a: b c. d', 't', 'English', '.gz'), ('x - y: z', NULL, 'R', ''), ('-', NULL, '', '')) v(bullets, token, language, extension)")
+def small_text_functions(spark, sf_dir):
+    t = values(spark, f"{_TEXTS} AS t(a, b, c, d)")
+    return t.select(tx.joined_bullets(F.col("a")).alias("bullets"), tx.bearer_token(F.col("b")).alias("token"), tx.capitalised(F.col("c")).alias("language"), tx.file_extension(F.col("d")).alias("extension"))
+
+
+@query(f"""
+SELECT 'maps' AS resource, CAST(s_suppkey AS VARCHAR) AS mongo_id, 0 AS chunk_number,
+  '<chunk chunk_number=0 location_url="https://maps.example.org/?a=1&amp;s=' || s_suppkey || '" hint="This is a entry pointing to some room">' || s_name AS content FROM supplier
+""")
+def prefix_map_entries(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    return chunking.index_rows(s.select(key.alias("id"), F.concat(F.lit("https://maps.example.org/?a=1&s="), key).alias("location_url"), F.concat(F.lit("<b>"), F.col("s_name"), F.lit("</b> ")).alias("content")), "maps")
+
+
+@query(f"""
+SELECT l.doc_id AS query_id, CAST(0.5 + 0.25 * l.quality AS DOUBLE) AS score, CASE WHEN l.doc_id % 2 = 0 THEN 'eduwiki' ELSE 'maps' END AS type, d.source AS display_name, 'https://kb.example.org/' || d.doc_id AS url, NULL AS object_key
+FROM labels l JOIN documents d USING (doc_id)
+UNION ALL SELECT module_id, 0.25, CASE type WHEN 'file' THEN 'moodle-file' WHEN 'url' THEN 'moodle-url' ELSE 'moodle-unknown' END, CASE WHEN held > 1 THEN module_name || ' / ' || filename ELSE module_name END,
+  CASE WHEN type = 'url' THEN 'https://lms.example.org/mod/url/view.php?id=' || module_id || '&redirect=1' END, CASE WHEN type = 'file' THEN 'moodle/' || course_id || '/' || module_id || '/' || filename END
+FROM ({_LI}) WHERE module_id % 50 = 0
+""")
+def hydrate_all_sources(spark, sf_dir):
+    """Hits of two page-like sources and of the LMS as one row type."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("https://kb.example.org/"), F.col("doc_id").cast("string")).alias("address"), "source", F.col("text").alias("content"))
+    page = docs.withColumnsRenamed({"address": "source_url", "source": "source_page_title"})
+    maps = docs.withColumnsRenamed({"address": "location_url", "source": "title"})
+    hits = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("query_id"), F.when(F.col("doc_id") % 2 == 0, "eduwiki").otherwise("maps").alias("resource"), F.col("doc_id").cast("string").alias("mongo_id"), (F.lit(0.5) + 0.25 * F.col("quality")).alias("score"))
+    entries = _nested(spark, sf_dir).withColumn("id", F.col("module_id").cast("string"))
+    asked = entries.where(F.col("module_id") % 50 == 0).select(F.col("module_id").alias("query_id"), F.lit("moodle").alias("resource"), F.col("id").alias("mongo_id"), F.lit(0.25).alias("score"))
+    return hydrate.hydrate(hits.unionByName(asked), {"eduwiki": page, "maps": maps, "moodle": entries}).select("query_id", "score", "type", "display_name", "url", "object_key")
+
+
+_SECTIONS = "campuslife clubs".split()
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, doc_id % 2 AS part, {_TERMS.format("source || ' ' || text")} AS w FROM documents), size AS (SELECT part, count(*) AS docs, avg(len(w)) AS mean FROM t GROUP BY part),
+p AS (SELECT part, term, doc_id, count(*) AS tf, any_value(length) AS length FROM (SELECT part, doc_id, len(w) AS length, unnest(w) AS term FROM t) GROUP BY part, term, doc_id),
+q AS (SELECT item_id AS query_id, unnest(list_distinct({_TERMS.format('text')})) AS term FROM benchmark),
+i AS (SELECT p.part, term, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p JOIN size USING (part) GROUP BY p.part, term, docs),
+s AS (SELECT part, query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN i USING (part, term) JOIN size USING (part) GROUP BY part, query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY part, query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3)
+SELECT query_id, CASE part WHEN 0 THEN 'campuslife' ELSE 'clubs' END AS resource, doc_id AS doc, score, rank, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, part, doc_id) AS final_rank FROM r
+""")
+def lexical_sections(spark, sf_dir):
+    """Two collections, three hits of each, in one order."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_page_title"), F.col("text").alias("content"))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return lexical.lexical_search({name: d.where(F.col("id") % 2 == k) for k, name in enumerate(_SECTIONS)}, asked, _SECTIONS, 3).select("query_id", "resource", "doc", "score", "rank", "final_rank")
+
+
+@query("""
+WITH n AS (SELECT user_id AS id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)
+SELECT id, CAST(id AS VARCHAR) AS query, string_agg(event_id || ':' || i, ',' ORDER BY i) AS responses, CAST(1.5 AS DOUBLE) AS time_spent FROM n WHERE i <= 5 GROUP BY id
+""")
+def query_log_rows(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    top = e.withColumn("final_rank", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where(F.col("final_rank") <= 5)
+    results = top.select(F.col("user_id").alias("query_id"), "final_rank", F.col("event_id").cast("string").alias("source"), F.col("final_rank").cast("double").alias("score"))
+    asked = e.select(F.col("user_id").alias("query_id"), F.col("user_id").cast("string").alias("query"), F.lit(1.5).alias("time_spent")).distinct()
+    shown = F.array_join(F.transform("wrapped_responses", lambda r: F.concat(r["source"], F.lit(":"), r["score"].cast("int").cast("string"))), ",")
+    return logs.log_rows(results, asked).select("id", "query", shown.alias("responses"), "time_spent")
+
+
+_WIKI = '<h1 id="firstHeading">T</h1><div class="mw-body"><div id="toc" class="toc"><ul><li><a href="#A">1 A</a></li><li><a href="/p#B">2 B</a></li></ul></div><h2><span class="mw-headline" id="A">A</span></h2><p>x</p><h2><span class="mw-headline" id="B">B</span></h2><p>y</p></div>'
+_SITE = '<div id="a"><h2>One</h2><p>x • y</p></div><div id="b"><h2>Two</h2>z</div>'
+_CARD = "<h1>Acme</h1><div><h2>Сфера деятельности</h2><p>makes</p></div><div class=props><div><b>Phone</b> 12</div></div>"
+_BOOK = '<a href="#one">One</a><div><a name="one"></a></div><div><div class="t-col-wrapper">k<br>v</div></div>'
+
+
+@query("""
+SELECT * FROM (VALUES ('wiki#A', 'A', '## A' || chr(10) || chr(10) || 'x'), ('wiki#B', 'B', '## B' || chr(10) || chr(10) || 'y'), ('site#a', 'ONE', '# ONE' || chr(10) || chr(10) || 'x ' || chr(10) || '* y'), ('site#b', 'TWO', '# TWO' || chr(10) || chr(10) || 'z'),
+  ('resident', 'Acme', '# Acme' || chr(10) || chr(10) || 'makes' || chr(10) || '- Phone 12'), ('handbook#one', 'One', '- k: v')) v(source_url, source_page_title, content)
+""")
+def page_readers(spark, sf_dir):
+    """The four kinds of pages that are cut into documents, each on a page of its kind: the tables have none."""
+    parts = [html.page_rows(spark.createDataFrame([(kind, page)], "url string, html string"), kind) for kind, page in (("wiki", _WIKI), ("site", _SITE), ("resident", _CARD), ("handbook", _BOOK))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g') AS title, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 0 AS has_text FROM pages")
+def section_titles(spark, sf_dir):
+    """Pages without a second heading are one section under their title."""
+    p = read(spark, sf_dir, "pages")
+    found = html.page_sections(p)
+    return found.select("page_id", "title", (F.length("content") > 0).alias("has_text"))
+
+
 @query()
 def embed_documents(spark, sf_dir):
     rows = chunking.chunk(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -44,8 +44,8 @@ def club_documents(bodies: DataFrame, leaders: DataFrame, col: str = "body") ->
 
 def table_to_list(headers: Column, body: Column) -> Column:
     """A ``;`` table as a nested list: rows padded or cut to the headers, empty cells left out, empty rows too."""
-    names = F.filter(F.transform(F.split(headers, ";", -1), F.trim), lambda h: h != "")
-    rows = F.filter(F.transform(F.split(F.trim(body), "\n", -1), lambda r: F.transform(F.split(r, ";", -1), F.trim)), lambda cols: F.exists(cols, lambda c: c != ""))
+    names = F.filter(F.transform(F.split(headers, ";", -1), lambda h: F.trim(h)), lambda h: h != "")
+    rows = F.filter(F.transform(F.split(F.trim(body), "\n", -1), lambda r: F.transform(F.split(r, ";", -1), lambda c: F.trim(c))), lambda cols: F.exists(cols, lambda c: c != ""))
     shaped = F.transform(rows, lambda cols: F.slice(F.concat(cols, F.array_repeat(F.lit(""), F.size(names))), F.lit(1), F.size(names)))
     cell = lambda c, i: F.when((i > 0) & (c != ""), F.concat(F.lit("\t- "), F.get(names, i), F.lit(": "), c, F.lit("\n"))).otherwise("")
     return F.array_join(F.transform(shaped, lambda cols: F.concat(F.lit("- "), F.get(cols, F.lit(0)), F.lit("\n"), F.array_join(F.transform(cols, cell), ""))), "")

@@ -88,7 +88,12 @@ def resources_from_yaml(spark: SparkSession, path: str, types: tuple[str, ...] |
 def evaluation_sheet(spark: SparkSession, path: str, question: str, links: str) -> DataFrame:
     """(query, expected): a CSV with one question a row and its urls a line each."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return raw.select(F.col(question).alias("query"), F.filter(F.transform(F.split(F.col(links), "\n"), F.trim), lambda u: u != "").alias("expected"))
+    return raw.select(F.col(question).alias("query"), F.filter(F.transform(F.split(F.col(links), "\n"), lambda u: F.trim(u)), lambda u: u != "").alias("expected"))
+
+
+def dump_markdown(rows: DataFrame, path: str, name: str = "file", content: str = "content") -> None:
+    """Texts as files below ``path``, a folder for each name."""
+    rows.select(F.col(name).alias("file"), F.col(content).alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 LMS_TREE = T.ArrayType(T.StructType([T.StructField("course_id", T.LongType()), T.StructField("course_fullname", T.StringType()), T.StructField("sections", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("summary", T.StringType()), T.StructField("modules", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("modname", T.StringType()), T.StructField("contents", T.ArrayType(CONTENT))])))])))]))

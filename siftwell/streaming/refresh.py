@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftwell.operators.chunking import index_rows, write_index
+from siftwell.session import written
 from siftwell.sources.tables import SOURCES
 
 
@@ -16,16 +17,15 @@ def index_stream(spark: SparkSession, incoming: str, index: str, checkpoint: str
     A document that comes again replaces its chunks: each batch rewrites the source's partition from what it kept and what is new,
     so a batch that runs twice gives the same index.
     """
-    docs = spark.readStream.schema(SOURCES[source]).parquet(incoming)
+    docs = spark.readStream.schema(SOURCES[source]).parquet(incoming).select("*", F.col("_metadata.file_modification_time").alias("_written"))
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.dropDuplicates(["id"])
+        last = Window.partitionBy("id").orderBy(F.col("_written").desc(), "content")
+        newest = written(batch.withColumn("_r", F.row_number().over(last)).where(F.col("_r") == 1).drop("_r", "_written"), "batch")
         rows = embed(index_rows(newest, source), "content", "passage")
         try:
             old = spark.read.parquet(index).where(F.col("resource") == source)
             kept = old.join(newest.select(F.col("id").alias("mongo_id")), "mongo_id", "left_anti").select(rows.columns)
-            from siftwell.session import written
-
             rows = written(kept.unionByName(rows), "index")  # the partition that is read is the one that is replaced
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):

@@ -210,3 +210,131 @@ def test_whole_retrieval(spark):
     asked = spark.createDataFrame([(1, "quiet dorm")], "query_id long, query string")
     got = ranking.retrieve(embed(rows, "content"), asked, embed, models.overlap_reranker, limit=5).orderBy("final_rank").collect()
     assert [(r["mongo_id"], r["score"]) for r in got] == [("a", 1.0)]
+
+
+def test_texts_of_handbooks_and_headers(spark):
+    assert one(spark, "- a <br> <br>b  c<br>d<br>\nx - y<br>z\n-q\n- <br>", tx.joined_bullets) == "- a: b c. d\nx - y: z\n-q\n-"
+    assert one(spark, "a\xa0[ | x\n | ](u) b \\| c ", tx.without_link_pipes) == "a  b | c"
+    assert [one(spark, x, tx.bearer_token) for x in ("Bearer t u", "bearer t", "Basic t", "Bearer ", "Bearer", None)] == ["t u", "t", None, None, None, None]
+    assert [one(spark, x, tx.capitalised) for x in ("ENGLISH", "r", "")] == ["English", "R", ""]
+    assert one(spark, "2025-01-02T03:04:05+01:00", lambda c: tx.iso_time(c).cast("long")) == 1735783445 and one(spark, "x", tx.iso_time) is None
+    assert one(spark, "2025-01-02T03:04:05", lambda c: tx.day_text(tx.iso_time(c))) == "2025-01-02 Thursday"
+
+
+def test_wiki_sections():
+    toc = '<div id="toc" class="toc"><ul><li><a href="#A">1 A</a><ul><li><a href="#A1">1.1 Part: one</a></li></ul></li><li><a href="/p#B">2 B</a></li></ul></div>'
+    body = '<h2><span class="mw-headline" id="A">A</span></h2><p>none</p><h3><span class="mw-headline" id="A1">A1</span></h3><p>x</p><div class="noprint">no</div><img src=i><h2><span class=mw-headline id="B">B</span></h2><table><tr><th>h<th>k<tr><td>a<td>b</table>'
+    page = f'<h1 id="firstHeading">Title</h1><div class="mw-body other">{toc}{body}</div>'
+    assert html.wiki_sections(page, "u") == [("u#A1", "Part: one", "### A1\n\nx"), ("u#B", "B", "## B\n\n- a\n\t- k: b")]
+    assert html.wiki_sections('<h1 id="firstHeading">T</h1><div class="mw-body"><p>x</div>y', "u") == [("u", "T", "x")]
+
+
+def test_handbook_sections(spark):
+    page = '<header>no</header><a href="#one"> One </a><a href="#two">Two</a><div id=r1><a name="one"></a></div><div><div class="t-title_xxl t-title">Big</div><div class="PersonWrapper">no</div><div class="t1-col-wrapper">k<br><a href="l"> t </a><div>z<div class="x personwrapper">no</div></div></div></div><div id=r2><a name="two"></a></div><div class="t431"><div class="t431__data-part1">h1;h2</div><div class="t431__data-part2">a;b\n;\nc;d;e</div></div>'
+    rows = html.page_rows(spark.createDataFrame([("u", page)], "url string, html string"), "handbook").collect()
+    assert [tuple(r) for r in rows] == [("u#one", "One", "## Big\n\n- k: [t](l). z"), ("u#two", "Two", "- a\n\t- h2: b\n- c\n\t- h2: d")]
+
+
+def test_site_sections(spark):
+    page = '<div class="Landing-Header">no</div><div id="a"><h2> First </h2><h3> </h3><p>x • y</div><div>more <a href="/p q">l</a></div><div id="b"><div><h2>Second</h2></div>z</div><div id="c"><h2>Empty</h2></div>'
+    rows = html.page_rows(spark.createDataFrame([("https://h.org/p", page), ("https://h.org/q", "<p>no")], "url string, html string"), "site").collect()
+    assert [tuple(r) for r in rows] == [("https://h.org/p#a", "FIRST", "# FIRST\n\nx \n* y\n\nmore [l](https://h.org/p%20q)"), ("https://h.org/p#b", "SECOND", "# SECOND\n\nz")]
+
+
+def test_residents(spark):
+    detail = "<h1> Acme </h1><div><h2>Сфера деятельности</h2><p>makes</p><p>things</p></div><div class=props><div><b>Phone</b> 12</div><div>mail</div></div>"
+    rows = html.page_rows(spark.createDataFrame([("u", detail)], "url string, html string"), "resident")
+    assert rows.first()["content"] == "# Acme\n\nmakes\nthings\n- Phone 12\n- mail"
+    assert html.list_page(rows.unionByName(rows.withColumn("source_url", F.lit("a")).withColumn("source_page_title", F.lit("Zed"))), "All", "l").first()["content"] == "# All\n\nZed\nAcme"
+    assert html.resident_page("", "u", "Name") == [("u", "Name", "# Name\n\n")]
+
+
+def test_fetched_pages(spark):
+    from siftwell.sources import fetch
+
+    site = {
+        "https://r.org/list": '<div class="ws512PN"><a>1</a><a>2</a></div><a class="newsSliderItem" href="/x"><span> X </span></a>',
+        "https://r.org/list?PAGEN_1=2": '<a class="newsSliderItem" href="https://o.org/y"><span>Y</span></a>',
+        "https://r.org/x": "<h1>X</h1>",
+    }
+
+    def get(url):
+        return 200 if url != "https://r.org/x" else 404, site[url]
+
+    assert sorted(tuple(r) for r in fetch.listed(spark, "https://r.org/list", get).collect()) == [("https://o.org/y", "Y"), ("https://r.org/x", "X")]
+    got = {r["url"]: (r["html"], r["error"]) for r in fetch.pages(spark.createDataFrame([("https://r.org/list?PAGEN_1=2",), ("https://r.org/x",), ("https://r.org/none",), (None,)], "url string"), get).collect()}
+    assert got["https://r.org/x"] == (None, "status 404") and got["https://r.org/none"][0] is None and len(got) == 3 and got["https://r.org/list?PAGEN_1=2"][1] is None
+
+
+def test_one_row_type(spark):
+    hits = spark.createDataFrame([(1, "moodle", "m", 0.7), (1, "eduwiki", "w", 0.9), (1, "maps", "p", 0.8), (1, "resources", "r", 0.1), (1, "eduwiki", "gone", 1.0)], "query_id long, resource string, mongo_id string, score double")
+    page = lambda i, *more: spark.createDataFrame([(i, "u", "t", "a\n\nbody", *more)], "id string, source_url string, source_page_title string, content string" + ", resource_type string" * bool(more))
+    maps = spark.createDataFrame([("p", "mu", "s", "a", "x\n\nroom", "108")], tables.MAP)
+    entry = spark.createDataFrame([("m", 1, "C / x", 2, "s", 3, "mod", "z", [("file", "f", 0, 0, False)])], tables.COURSE_MODULE)
+    rows = hydrate.hydrate(hits, {"moodle": entry, "eduwiki": page("w"), "maps": maps, "resources": page("r", "ithelp")}).collect()
+    assert [(r["type"], r["score"], r["display_name"], r["preview_text"]) for r in rows] == [("eduwiki", 0.9, "t", "body"), ("maps", 0.8, "108", "room"), ("moodle-file", 0.7, "mod", None), ("resources", 0.1, "t", "body")]
+    assert rows[1]["url"] == "mu" and rows[2]["object_key"] == "moodle/1/3/f" and rows[3]["resource_type"] == "ithelp"
+    plain = hydrate.hydrate(hits, {"eduwiki": page("w").withColumn("content", F.lit("<b>x</b>")), "maps": maps}, "lexical").collect()
+    assert [r["preview_text"] for r in plain] == ["x", "x\n\nroom"]
+
+
+def test_index_of_empty_sources(spark, tmp_path):
+    path = str(tmp_path / "index")
+    assert chunking.read_index(spark, path, ["hotel"]).count() == 0
+    embed = models.embedder()
+    docs = spark.createDataFrame([("1", "u", "t", "some words")], tables.PAGE)
+    none = embed(chunking.index_rows(docs.limit(0), "hotel"), "content")
+    assert chunking.write_index(none, path, "hotel").count() == 0
+    for name in ("hotel", "clubs"):
+        chunking.write_index(embed(chunking.index_rows(docs, name), "content"), path, name)
+    assert chunking.write_index(none, path, "hotel").count() == 1
+    assert [r["resource"] for r in chunking.read_index(spark, path, ["hotel", "clubs", "maps"]).collect()] == ["clubs"]
+    rooms = spark.createDataFrame([("p", 'u"', "s", "a", "<b>x</b>", "108"), ("q", None, "s", "a", "y", "109")], tables.MAP)
+    got = [r["content"] for r in chunking.index_rows(rooms, "maps").orderBy("mongo_id").collect()]
+    assert got[0].startswith('<chunk chunk_number=0 location_url="u&quot;" hint="') and got[0].endswith('">x') and got[1] == "y"
+
+
+def test_refresh_that_was_stopped(spark, tmp_path):
+    root = str(tmp_path / "c")
+    tables.refresh(spark.createDataFrame([("1", "u", "t", "c")], tables.PAGE), root, "hotel")
+    (tmp_path / "c" / "hotel").rename(tmp_path / "c" / ".hotel-former-x")
+    assert tables.read_collection(spark, root, "hotel").count() == 1
+    tables.refresh(spark.createDataFrame([("1", "u", "t", "c"), ("2", "u", "t", "c")], tables.PAGE), root, "hotel")
+    assert tables.read_collection(spark, root, "hotel").count() == 2 and not list((tmp_path / "c").glob(".hotel-*"))
+
+
+def test_logs_prompts_and_answers(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "q one"), (2, "and two?")], "query_id long, query string")
+    results = spark.createDataFrame([(1, 1, "a", 0.9), (1, 2, "b", 0.8)], "query_id long, final_rank int, source string, score double")
+    rows = logs.log_rows(results, logs.timed(lambda: asked))
+    logs.append(rows, str(tmp_path / "log"))
+    logs.append(rows, str(tmp_path / "log"))
+    got = spark.read.parquet(str(tmp_path / "log")).where("id = 1").collect()
+    assert len(got) == 2 and [x["source"] for x in got[0]["wrapped_responses"]] == ["a", "b"] and got[0]["time_spent"] > 0
+    told = spark.createDataFrame([(2, "user: q one")], "query_id long, history string")
+    new = {r["query_id"]: r for r in logs.rewritten(asked, told, lambda prompts: [" " + p.split("Follow Up Input: ")[1].split("\n")[0].upper() + ("!" if "Chat History:\nuser: q one\n" in p else "") for p in prompts]).collect()}
+    assert (new[1]["query"], new[2]["query"], new[2]["original"]) == ("Q ONE", "AND TWO?!", "and two?")
+    assert {r["query"] for r in logs.rewritten(asked, told).collect()} == {"q one", "and two?"}
+    answers = logs.completed(asked, "query", "answer", lambda prompts: [f"re {p}" for p in prompts]).withColumn("time_spent", F.lit(0.5))
+    assert sorted(r["responses"] for r in logs.answer_rows(answers, ["query", "answer"]).collect())[1] == '{"query":"q one","answer":"re q one"}'
+    with pytest.raises(Exception, match="no answer"):
+        logs.completed(asked, "query", "answer", lambda prompts: [None] * len(prompts)).collect()
+    assert logs.sources_or_default(None) == list(logs.DEFAULT_SOURCES) and logs.sources_or_default(["maps"]) == ["maps"]
+    m = asked.select(logs.messages(F.array(F.struct(F.lit("user").alias("role"), F.lit("h").alias("content"))), F.lit("p"), F.col("query"), F.lit("q one")).alias("m")).collect()
+    assert [len(r["m"]) for r in m] == [1, 2]
+    assert one(spark, "Sorry, no", lambda c: F.size(logs.gate_results(c, F.array(F.lit(1)))), "string") == 0
+
+
+def test_few_rows_each(spark, tmp_path):
+    entries = spark.createDataFrame([("m", 1, "C / x", 2, "s", 3, "mod", "z", [("file", "f", 0, 0, False), ("url", "g", 0, 0, False)]), ("n", 2, "D", 2, "s", 4, "mod", "z", [])], tables.COURSE_MODULE)
+    assert sorted(r["filename"] for r in lms.course_sources(entries, "C / x").collect()) == ["f", "g"]
+    assert metrics.means(metrics.evaluate(spark.createDataFrame([([1, 0],), ([0, 1],)], "rel array<int>"))).first()["rr"] == 0.75
+    (tmp_path / "e.csv").write_text('Question,Link\n"a, b","u1\nu2 "\nc,\n')
+    assert [(r["query"], r["expected"]) for r in tables.evaluation_sheet(spark, str(tmp_path / "e.csv"), "Question", "Link").collect()] == [("a, b", ["u1", "u2"]), ("c", None)]
+    for d in ("moodle/1/2", "other"):
+        (tmp_path / "blobs" / d).mkdir(parents=True)
+        (tmp_path / "blobs" / d / "f.pdf").write_bytes(b"xyz")
+    got = tables.list_objects(spark, str(tmp_path / "blobs"))
+    assert [tuple(r) for r in tables.parse_object_paths(got).collect()] == [(1, 2, "f.pdf")]
+    tables.dump_markdown(spark.createDataFrame([("p.md", "# t\nx")], "file string, content string"), str(tmp_path / "md"))
+    assert [p.read_text() for p in (tmp_path / "md" / "file=p.md").glob("part-*")] == ["# t\nx\n"]
