@@ -41,7 +41,7 @@ class Index:
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
-    def search(self, query: np.ndarray, k: int, share: float = 0.08, n_used: int = 40, need: float = 0.55) -> np.ndarray:
+    def candidates(self, query: np.ndarray, k: int, share: float = 0.08, n_used: int = 40, need: float = 0.55) -> np.ndarray:
         """Places of the vectors to verify: those that collide in the most windows, ``share`` of all and 16 for each one asked for, or more.
 
         Of all lines those count on which the query lies farthest out: there its windows hold few other vectors. Windows
@@ -77,16 +77,16 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where(fine).select(F.col(id_col).cast("long").alias("i"), v.cast("array<double>").alias("v"), finite.alias("ok")).where(F.coalesce(F.col("ok"), F.lit(False))).drop("ok")
 
 
-def nearest(index: Index, ids: np.ndarray, query: np.ndarray, own: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+def best_of(index: Index, ids: np.ndarray, query: np.ndarray, own: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids and inner products of the ``k`` best verified vectors of other ids."""
-    at = index.search(query, k + 1, share)
+    at = index.candidates(query, k + 1, share)
     at = at[ids[at] != own]
     score = (index.vectors[at] * query).sum(axis=1)  # each row by itself, so that equal vectors score equally in any block
     best = np.lexsort((ids[at], -score))[:k]
     return ids[at][best], score[best]
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, share: float = 0.08) -> DataFrame:
+def nearest_rows(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, share: float = 0.08) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries`` among all rows of ``df``."""
     ship(df.sparkSession)
     n_blocks = max(1, -(-df.count() // block_rows))
@@ -112,10 +112,10 @@ def search(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id
                     held = []
                 if len(v) in indexes:
                     ids, index = indexes[len(v)]
-                    found, score = nearest(index, ids, v, i, k, share)
+                    found, score = best_of(index, ids, v, i, k, share)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(np.full(len(found), w)), pa.array(found), pa.array(score)], names=schema.names)
 
-    met = data.unionByName(asked).repartition(n_blocks, "block").sortWithinPartitions("block", "asks")
+    met = data.unionByName(asked).repartition(4 * n_blocks, "block").sortWithinPartitions("block", "asks")
     found = met.mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

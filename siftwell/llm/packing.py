@@ -1,4 +1,4 @@
-"""Best-fit packing (2): documents into sequences of at most ``capacity`` tokens, improved by swap-based local search.
+"""Best-fit packing (2): documents into sequences of at most ``capacity`` tokens, improved locally by swaps.
 
 Texts become ids once, in the scan; from then on only (id, piece, length, checksum) rows move. Pieces are dealt by a hash
 of their place to blocks of about ``block_docs`` documents. A block starts from best fit in falling length; then the emptiest underfull

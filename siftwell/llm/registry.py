@@ -92,7 +92,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwell.llm import ann
 
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+    return ann.nearest_rows(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
 @query

@@ -208,7 +208,7 @@ def test_collisions_leave_few_to_verify(rows, size):
     index = ann.Index(np.random.default_rng(3).normal(size=(rows, size)))
     hits = checked = 0
     for q in range(40):
-        found = index.search(index.vectors[q], 20)
+        found = index.candidates(index.vectors[q], 20)
         hits += len(set(found) & set(np.argsort(-(index.vectors @ index.vectors[q]))[:20]))
         checked += len(found)
     assert hits >= 0.9 * 20 * 40 and checked <= 0.5 * rows * 40
@@ -217,7 +217,7 @@ def test_collisions_leave_few_to_verify(rows, size):
 def test_op8_repeated_queries(spark):
     v = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (3, [0.0, 5.0]), (3, [0.0, 5.0]), (2**53 + 1, [1.0, 1.0]), (None, [9.0, 9.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df.where("vec_id = 0"), k=2, block_rows=3).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.nearest_rows(df, df.where("vec_id = 0"), k=2, block_rows=3).collect())
     # two different vectors of id 0, each with a list of its own; the row that comes twice is asked once
     assert got == [(0, 1, 1, 2.0), (0, 1, 3, 5.0), (0, 2, 3, 5.0), (0, 2, 2**53 + 1, 1.0)] or got == sorted([(0, 1, 1, 2.0), (0, 2, 2**53 + 1, 1.0), (0, 1, 3, 5.0), (0, 2, 3, 5.0)])
 
@@ -225,9 +225,9 @@ def test_op8_repeated_queries(spark):
 def test_op8_odd(spark):
     v = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [3.0, 0.0]), (6, [float("inf"), 1.0]), (7, [1.0, 0.0]), (8, [1.0]), (None, [1.0, 1.0]), (40, [0.0, 0.0])]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
-    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect()
+    got = ann.nearest_rows(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5, 3.0), (0, 2, 7, 1.0), (0, 3, 20, 1.0), (20, 1, 5, 3.0), (20, 2, 0, 1.0), (20, 3, 7, 1.0)]
-    assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    assert ann.nearest_rows(df.limit(0), df.limit(0)).count() == 0
 
 
 def brute_links(rows):
