@@ -56,7 +56,7 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10, id_col: str = "do
     return (ranked if limit <= 0 else ranked.where(F.col("rank") <= limit)).select("query_id", "rank", "doc", "score")
 
 
-def lexical_search(collections: dict[str, DataFrame], queries: DataFrame, sections: list[str], limit: int = 10) -> DataFrame:
+def lexical_hits(collections: dict[str, DataFrame], queries: DataFrame, sections: list[str], limit: int = 10) -> DataFrame:
     """``limit`` hits of each section, in one order over all sections and without a limit over them."""
     found = None
     for s in sections:

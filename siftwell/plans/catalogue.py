@@ -477,7 +477,7 @@ def lexical_sections(spark, sf_dir):
     """Two collections, three hits of each, in one order."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_page_title"), F.col("text").alias("content"))
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.lexical_search({name: d.where(F.col("id") % 2 == k) for k, name in enumerate(_SECTIONS)}, asked, _SECTIONS, 3).select("query_id", "resource", "doc", "score", "rank", "final_rank")
+    return lexical.lexical_hits({name: d.where(F.col("id") % 2 == k) for k, name in enumerate(_SECTIONS)}, asked, _SECTIONS, 3).select("query_id", "resource", "doc", "score", "rank", "final_rank")
 
 
 @query("""
@@ -509,7 +509,7 @@ def page_readers(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("SELECT page_id, regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g') AS title, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 0 AS has_text FROM pages")
+@query("SELECT page_id, replace(replace(replace(regexp_replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, length(regexp_replace(html, '<[^>]+>', '', 'g')) > 0 AS has_text FROM pages")
 def section_titles(spark, sf_dir):
     """Pages without a second heading are one section under their title."""
     p = read(spark, sf_dir, "pages")

@@ -10,27 +10,36 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[*]", app: str = "siftwell", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with UTC, AQE and Arrow; on a cluster pass the master and leave sizing to its defaults."""
+def build_session(master: str = "local[*]", app: str = "siftwell", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with UTC, AQE and Arrow. On a cluster shuffles keep its own number of partitions, which AQE coalesces; a local
+    master has 8 unless told otherwise."""
     b = SparkSession.builder.master(master).appName(app)
+    if shuffle_partitions is None and _is_local(master):
+        shuffle_partitions = 8
     settings = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-    } | conf
+    } | ({} if shuffle_partitions is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions)}) | conf
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
 
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset and all is one process (tests) a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not _is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

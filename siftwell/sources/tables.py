@@ -15,7 +15,7 @@ MAP = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "location_u
 CONTENT = T.StructType([T.StructField("type", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("timecreated", T.LongType()), T.StructField("timemodified", T.LongType()), T.StructField("uploaded", T.BooleanType())])
 COURSE_MODULE = T.StructType([T.StructField("id", T.StringType()), T.StructField("course_id", T.LongType()), T.StructField("course_fullname", T.StringType()), T.StructField("section_id", T.LongType()), T.StructField("section_summary", T.StringType()), T.StructField("module_id", T.LongType()), T.StructField("module_name", T.StringType()), T.StructField("module_modname", T.StringType()), T.StructField("contents", T.ArrayType(CONTENT))])
 COURSE = T.StructType([T.StructField("course_id", T.LongType()), T.StructField("fullname", T.StringType()), T.StructField("startdate", T.LongType()), T.StructField("enddate", T.LongType()), T.StructField("coursecategory", T.StringType())])
-#: One registry of sources; those without an index are reached by lexical search only.
+#: One registry of sources; those without an index are reached by their words only.
 SOURCES = {name: PAGE for name in ("campuslife", "eduwiki", "clubs", "hotel", "residents")} | {"resources": RESOURCE, "maps": MAP, "moodle": COURSE_MODULE}
 
 

@@ -113,10 +113,10 @@ def test_metrics(spark, rel, wanted):
 def test_lexical_limit_and_sections(spark):
     pages = spark.createDataFrame([("1", "u", "Dorm rules", "quiet hours"), ("2", "u", "Dorm map", "rooms"), ("3", "u", "Food", "x")], "id string, source_url string, source_page_title string, content string")
     asked = spark.createDataFrame([(1, "dorm dorm rules")], "query_id int, query string")
-    assert [r["doc"] for r in lexical.lexical_search({"hotel": pages}, asked, ["hotel", "clubs"], 0).orderBy("final_rank").collect()] == ["1", "2"]
-    assert lexical.lexical_search({"hotel": pages}, asked, ["hotel"], 1).count() == 1
+    assert [r["doc"] for r in lexical.lexical_hits({"hotel": pages}, asked, ["hotel", "clubs"], 0).orderBy("final_rank").collect()] == ["1", "2"]
+    assert lexical.lexical_hits({"hotel": pages}, asked, ["hotel"], 1).count() == 1
     with pytest.raises(ValueError):
-        lexical.lexical_search({}, asked, ["nowhere"])
+        lexical.lexical_hits({}, asked, ["nowhere"])
 
     def down():
         raise ConnectionError
