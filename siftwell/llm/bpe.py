@@ -18,6 +18,7 @@ as they are, null or not; ``encode_decode`` reads no other column and ``token_id
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -246,6 +247,16 @@ class Encoder:
     def _forget(self) -> None:
         self.first, self.count, self.ids, self.n_rows, self.n_ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0, 0
 
+    @functools.cached_property
+    def written(self) -> list[bytes]:
+        """Each id in decimal digits."""
+        return [str(i).encode() for i in range(len(self.tokens))]
+
+    @functools.cached_property
+    def whole(self) -> np.ndarray:
+        """Whether each token holds whole characters."""
+        return np.fromiter((_is_whole(t) for t in self.tokens), bool, len(self.tokens))
+
     def _append(self, found: list[list[int]]) -> None:
         flat = np.fromiter((i for x in found for i in x), np.uint32)
         sizes = np.fromiter(map(len, found), np.int32, len(found))
@@ -288,9 +299,7 @@ def encode_decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
 
     def make():
         enc = encoder(ranks_path)
-        written = [str(i).encode() for i in range(len(enc.tokens))]
-        whole = np.fromiter((_is_whole(t) for t in enc.tokens), bool, len(enc.tokens))
-        decoder = StreamDecoder(enc.tokens)
+        written, whole, decoder = enc.written, enc.whole, StreamDecoder(enc.tokens)
 
         def run(texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
             counts, digests, decoded = [], [], []
