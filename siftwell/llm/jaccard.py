@@ -8,7 +8,8 @@ share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, so
 2. each set keeps of its prefix what other sets hold too (most sets keep nothing and are done);
 3. sets that share a kept shingle meet, if sizes and places allow a link. A bucket of more than ``LARGE`` sets gives a chain
    instead of pairs, and chains join to groups;
-4. the pairs' sets are cut into fragments; each counts the partial overlaps of all pairs, and these are summed per pair;
+4. pairs are dealt to buckets by the least neighbour of one end, so that a clique stays together; the buckets' sets are cut into
+   fragments, each counts the partial overlaps of the bucket's pairs, and these are summed per pair;
 5. groups are compared in cells of at most two blocks of sets: a cell cuts its shingles into fragments, counts partial overlaps
    in each as a product of incidence matrices, and sums them; links leave as a spanning forest.
 
@@ -44,8 +45,10 @@ FRONT = 0.25
 _FRONT_END = np.uint64(int(FRONT * 2**64))
 #: Sets a block of a group, and sets of a bucket above which it becomes a chain instead of pairs.
 BLOCK, LARGE = 2048, 256
-#: Rows of ids that may be broadcast: some 200 bytes each as a hash table, so 40 MB.
+#: Rows of ids, and places in lists of theirs, that may be broadcast: some 200 bytes each as a hash table, so 40 MB.
 MOST_SENT = 200_000
+#: Fragments that pairs are compared in, and shingles of a bucket of pairs (a set's count for each of its pairs).
+CUTS, PAIRED = 8, 16_000_000
 _COLUMNS = 4096
 
 
@@ -226,7 +229,7 @@ def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _partial(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Of one fragment: how many of its shingles the two sets of each pair share."""
+    """Of one fragment of a bucket of pairs: how many of its shingles the two sets of each pair share."""
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("u", "v", "nu", "nv", "shared")})
     if not len(sets) or not len(pairs):
         return empty
@@ -331,26 +334,32 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(chosen, "doc_id").mapInArrow(run, schema)
 
 
-def _cut(sets: DataFrame, n_cuts: int) -> DataFrame:
-    """(cut, rid, found): each set's hashes by fragment."""
+def _dealt(pairs: DataFrame, a_bucket: int) -> DataFrame:
+    """``pairs`` with the bucket that compares each. A bucket's size does not grow with the table: a set meets a bounded number of others."""
+    load = pairs.agg(F.coalesce(F.sum(F.col("nu") + F.col("nv")), F.lit(0))).first()[0]
+    ends = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    least = ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+    return pairs.join(least, "u").withColumn("bucket", F.pmod(F.xxhash64("least"), F.lit(max(1, -(-load // a_bucket)))).cast("int")).drop("least")
+
+
+def _cut(sets: DataFrame) -> DataFrame:
+    """(bucket, cut, rid, found): each set's hashes by fragment, for every bucket that it has a pair in."""
+    bounds = np.array([(k << 64) // CUTS for k in range(1, CUTS)], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for rid, found in zip(pdf["rid"], pdf["found"], strict=True):
+            for rid, buckets, found in zip(pdf["rid"], pdf["buckets"], pdf["found"], strict=True):
                 h = np.frombuffer(found, np.uint64)
-                bounds = np.searchsorted(h, _bounds(n_cuts))
-                rows += [(k, rid, h[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(h)], strict=True)) if b > a]
-            yield pd.DataFrame(rows, columns=["cut", "rid", "found"])
-
-    return sets.select("rid", "found").mapInPandas(run, "cut int, rid long, found binary")
-
+                ends = np.searchsorted(h, bounds)
+                held = [(k, h[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)], strict=True)) if b > a]
+                # a set's hashes leave for a bounded number of buckets at a time
+                for part in np.array_split(np.asarray(buckets), -(-len(buckets) * len(h) // 1_000_000)):
+                    yield pd.DataFrame([(bucket, k, rid, x) for bucket in part.tolist() for k, x in held], columns=["bucket", "cut", "rid", "found"])
 
-def _bounds(n_cuts: int) -> np.ndarray:
-    return np.array([(k << 64) // n_cuts for k in range(1, n_cuts)], np.uint64)
+    return sets.select("rid", "buckets", "found").mapInPandas(run, "bucket int, cut int, rid long, found binary")
 
 
-def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK, paired: int = PAIRED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     n = max(1, -(-docs.select("doc_id").count() // docs_a_fragment))
     seen = written(scan(docs, n), "shingles")
@@ -366,16 +375,16 @@ def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK) -> Da
     groups = components(chains) if chains.head(1) else chains.select(F.col("u").alias("node"), F.col("v").alias("root"))
     groups = groups.select(F.col("node").alias("rid"), F.col("root").alias("group"))
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    paired = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
-    wanted = paired.join(groups.join(sizes, "group"), "rid", "full").join(classes.select("rid", "n", F.col("least").alias("doc_id")), "rid")
-    wanted = written(wanted.select("doc_id", "rid", "n", "group", "blocks"), "wanted")
-    n_wanted, n_shingles = wanted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    pairs = written(_dealt(pairs, paired), "dealt")
+    of_pairs = pairs.select(F.explode(F.array("u", "v")).alias("rid"), "bucket").groupBy("rid").agg(F.collect_set("bucket").alias("buckets"))
+    wanted = of_pairs.join(groups.join(sizes, "group"), "rid", "full").join(classes.select("rid", F.col("least").alias("doc_id")), "rid")
+    wanted = written(wanted.select("doc_id", "rid", "group", "blocks", "buckets"), "wanted")
+    n_wanted = wanted.agg(F.count("*") + F.coalesce(F.sum(F.when(F.col("buckets").isNotNull(), F.size("buckets"))), F.lit(0))).first()[0]
     found = written(_sets_of(docs, wanted, n_wanted), "sets")
 
     # pairs: partial overlaps by fragment, summed
-    n_cuts = max(8, -(-n_shingles // 4_000_000))
-    each_cut = pairs.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(n_cuts - 1))))
-    partial = _cut(found, n_cuts).groupBy("cut").cogroup(each_cut.groupBy("cut")).applyInPandas(_partial, "u long, v long, nu long, nv long, shared long")
+    each_cut = pairs.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
+    partial = _cut(found.where(F.col("buckets").isNotNull())).groupBy("bucket", "cut").cogroup(each_cut.groupBy("bucket", "cut")).applyInPandas(_partial, "u long, v long, nu long, nv long, shared long")
     summed = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("o"))
     links = summed.where(100 * F.col("o") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v")
     # groups: cells of two blocks at most, compared whole
