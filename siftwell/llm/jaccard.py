@@ -4,7 +4,8 @@ Texts become sets of distinct 5-word shingles (64-bit hashes). The global order
 shingles leading, and the rest behind it by hash. It is cut into fragments by hash. Two sets as similar as asked
 share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, so
 
-1. each fragment counts, over all documents, how many different sets hold each of its shingles;
+1. each fragment counts, over all documents, how many different sets hold each of its shingles; a fragment of more than
+   ``ENTRIES`` entries counts in parts, whose counts are summed;
 2. each set keeps of its prefix what other sets hold too (most sets keep nothing and are done);
 3. sets that share a kept shingle meet, if sizes and places allow a link. A bucket of more than ``LARGE`` sets gives a chain
    instead of pairs, and chains join to groups;
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +50,8 @@ BLOCK, LARGE = 2048, 256
 MOST_SENT = 200_000
 #: Fragments that pairs are compared in, and shingles of a bucket of pairs (a set's count for each of its pairs).
 CUTS, PAIRED = 8, 16_000_000
+#: Entries of a fragment, and of a bucket of one shingle, above which it is split over tasks.
+ENTRIES, HUGE = 4_000_000, 100_000
 _COLUMNS = 4096
 
 
@@ -140,29 +143,89 @@ def _runs(sorted_keys: np.ndarray) -> tuple[list[int], list[slice]]:
     return sorted_keys[first].tolist(), [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(sorted_keys)], strict=True)]
 
 
-def _shared(pdf: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    """Of one fragment: entries that several sets hold, with how many do, dealt by set."""
-    hashes, names = [], []
-    for h, o, t in zip(pdf["hashes"], pdf["owners"], pdf["names"], strict=True):
-        h = np.frombuffer(h, np.uint64)
-        hashes.append(h)
-        names.append(np.frombuffer(t, np.int64)[np.frombuffer(o, np.uint16 if len(o) == 2 * len(h) else np.uint32)])
-    h, rid = np.concatenate(hashes), np.concatenate(names)
+def _entries(hashes: list[bytes], owners: list[bytes], names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of some batches and the sets that hold them."""
+    held = [np.frombuffer(h, np.uint64) for h in hashes]
+    rids = [np.frombuffer(t, np.int64)[np.frombuffer(o, np.uint16 if len(o) == 2 * len(h) else np.uint32)] for h, o, t in zip(held, owners, names, strict=True)]
+    return np.concatenate(held), np.concatenate(rids)
+
+
+def _once(h: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different entries, by hash and set."""
     order = np.lexsort((rid, h))
     h, rid = h[order], rid[order]
-    once = np.r_[True, (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])]
-    h, rid = h[once], rid[once]
+    new = np.r_[True, (h[1:] != h[:-1]) | (rid[1:] != rid[:-1])]
+    return h[new], rid[new]
+
+
+def _held_by(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes: the first place of each, and how many there are of it."""
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    df = np.diff(np.r_[first, len(h)])
-    held = np.repeat(df, df)
+    return first, np.diff(np.r_[first, len(h)])
+
+
+_SHARED = "bucket int, hashes binary, rids binary, held binary"
+
+
+def _by_set(h: np.ndarray, rid: np.ndarray, held: np.ndarray, n_buckets: int) -> pd.DataFrame:
+    """Entries that several sets hold, with how many do, dealt by set."""
     keep = held > 1
     h, rid, held = h[keep], rid[keep], held[keep]
     of = np.mod(rid, n_buckets)
     order = np.argsort(of, kind="stable")
-    rows = [(b, h[order[at]].tobytes(), rid[order[at]].tobytes(), held[order[at]].astype(np.uint32).tobytes()) for b, at in zip(*_runs(of[order]), strict=True)]
+    rows = [(b, h[order[at]].tobytes(), rid[order[at]].tobytes(), held[order[at]].astype(np.int64).tobytes()) for b, at in zip(*_runs(of[order]), strict=True)]
     return pd.DataFrame(rows, columns=["bucket", "hashes", "rids", "held"])
 
 
+def shared_entries(pieces: DataFrame, n: int, most: int) -> DataFrame:
+    """Entries that several sets hold, by set. A fragment of more than ``most`` entries, such as that of a shingle that a third of
+    all sets hold, is split by set: its parts count alone, the counts are summed per hash and come back to the parts."""
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, rid = _once(*_entries(pdf["hashes"], pdf["owners"], pdf["names"]))
+        held = _held_by(h)[1]
+        return _by_set(h, rid, np.repeat(held, held), n)
+
+    load = pieces.groupBy("fragment").agg((F.sum(F.octet_length("hashes")) / 8).alias("load")).where(F.col("load") > most)
+    large = written(load.select("fragment", F.ceil(F.col("load") / most).cast("int").alias("parts")), "large")
+    n_large = large.count()
+    if not n_large:
+        return pieces.groupBy("fragment").applyInPandas(whole, _SHARED)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for fragment, parts, *piece in pdf[["fragment", "parts", "hashes", "owners", "names"]].itertuples(index=False):
+                h, rid = _entries(*([x] for x in piece))
+                of = np.mod(rid >> 24, parts)
+                order = np.argsort(of, kind="stable")
+                rows += [(fragment, part, h[order[at]].tobytes(), rid[order[at]].tobytes()) for part, at in zip(*_runs(of[order]), strict=True)]
+            yield pd.DataFrame(rows, columns=["fragment", "part", "hashes", "rids"])
+
+    def part_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return _once(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]]), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["rids"]]))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, _ = part_of(pdf)
+        first, held = _held_by(h)
+        return pd.DataFrame({"fragment": pdf["fragment"].iloc[0], "part": pdf["part"].iloc[0], "h": h[first].view(np.int64), "held": held})
+
+    def come_back(pdf: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+        h, rid = part_of(pdf)
+        names, held = totals["h"].to_numpy().view(np.uint64), totals["held"].to_numpy()
+        order = np.argsort(names)
+        at = np.minimum(np.searchsorted(names[order], h), max(0, len(names) - 1))
+        several = names[order][at] == h if len(names) else np.zeros(len(h), bool)
+        return _by_set(h[several], rid[several], held[order][at[several]], n)
+
+    chosen = F.broadcast(large) if n_large <= MOST_SENT else large
+    parts = written(pieces.join(chosen, "fragment").mapInPandas(split, "fragment int, part int, hashes binary, rids binary"), "parts")
+    each = parts.groupBy("fragment", "part").applyInPandas(counted, "fragment int, part int, h long, held long")
+    totals = each.withColumn("held", F.sum("held").over(Window.partitionBy("fragment", "h"))).where(F.col("held") > 1)
+    back = parts.groupBy("fragment", "part").cogroup(totals.groupBy("fragment", "part")).applyInPandas(come_back, _SHARED)
+    return pieces.join(chosen, "fragment", "left_anti").groupBy("fragment").applyInPandas(whole, _SHARED).unionByName(back)
+
+
 def _prefixes(sets: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket of sets: the shared part of each prefix, with each entry's place in the set's order (or a lower one)."""
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("h", "rid", "n", "place")})
@@ -170,7 +233,7 @@ def _prefixes(sets: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         return empty
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in entries["hashes"]])
     rid = np.concatenate([np.frombuffer(x, np.int64) for x in entries["rids"]])
-    held = np.concatenate([np.frombuffer(x, np.uint32) for x in entries["held"]])
+    held = np.concatenate([np.frombuffer(x, np.int64) for x in entries["held"]])
     sets = sets.sort_values("rid")
     names = sets["rid"].to_numpy()
     known = names[np.minimum(np.searchsorted(names, rid), len(names) - 1)] == rid  # sets of rows without an id are not
@@ -228,6 +291,28 @@ def _meetings(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([met, pd.DataFrame({"u": rids[root[hung]], "nu": 0, "v": rids[hung], "nv": 0, "hot": True})])
 
 
+def meetings(prefixes: DataFrame, n: int, most: int) -> DataFrame:
+    """Pairs and chains of all buckets. The sets of a bucket of more than ``most`` are chained by windows instead of in one task:
+    equal sizes by part, the parts of a size, and the sizes in order."""
+    schema = "u long, nu long, v long, nv long, hot boolean"
+    huge = written(prefixes.groupBy("h").agg(F.count("*").alias("held")).where(F.col("held") > most), "huge")
+    n_huge = huge.count()
+    if not n_huge:
+        return prefixes.groupBy(F.pmod("h", F.lit(n)).alias("f")).applyInPandas(_meetings, schema).distinct()
+    chosen = F.broadcast(huge) if n_huge <= MOST_SENT else huge
+    usual = prefixes.join(chosen, "h", "left_anti").groupBy(F.pmod("h", F.lit(n)).alias("f")).applyInPandas(_meetings, schema)
+    part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("held") / most)).alias("part")
+    least = F.min("rid").over(Window.partitionBy("h", "n", "part")).alias("least")
+    sets = prefixes.join(chosen, "h").select("h", "n", "rid", part).select("h", "n", "part", "rid", least)
+    parts = sets.groupBy("h", "n", "part").agg(F.min("rid").alias("rid")).select("h", "n", "rid", F.min("rid").over(Window.partitionBy("h", "n")).alias("least"))
+    by_size = Window.partitionBy("h").orderBy("n")
+    sizes = parts.groupBy("h", "n").agg(F.min("rid").alias("rid")).select("n", "rid", F.lag("rid").over(by_size).alias("least"), F.lag("n").over(by_size).alias("before"))
+    chains = sets.select("rid", "least").unionByName(parts.select("rid", "least")).unionByName(sizes.where(100 * F.col("before") >= PERCENT * F.col("n")).select("rid", "least"))
+    zero = F.lit(0).cast("long")
+    linked_to = chains.where(F.col("rid") != F.col("least")).select(F.col("least").alias("u"), zero.alias("nu"), F.col("rid").alias("v"), zero.alias("nv"), F.lit(True).alias("hot"))
+    return usual.unionByName(linked_to).distinct()
+
+
 def _partial(sets: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     """Of one fragment of a bucket of pairs: how many of its shingles the two sets of each pair share."""
     empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("u", "v", "nu", "nv", "shared")})
@@ -345,31 +430,37 @@ def _dealt(pairs: DataFrame, a_bucket: int) -> DataFrame:
 def _cut(sets: DataFrame) -> DataFrame:
     """(bucket, cut, rid, found): each set's hashes by fragment, for every bucket that it has a pair in."""
     bounds = np.array([(k << 64) // CUTS for k in range(1, CUTS)], np.uint64)
+    names = ["bucket", "cut", "rid", "found"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in batches:
             for rid, buckets, found in zip(pdf["rid"], pdf["buckets"], pdf["found"], strict=True):
                 h = np.frombuffer(found, np.uint64)
                 ends = np.searchsorted(h, bounds)
                 held = [(k, h[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)], strict=True)) if b > a]
-                # a set's hashes leave for a bounded number of buckets at a time
-                for part in np.array_split(np.asarray(buckets), -(-len(buckets) * len(h) // 1_000_000)):
-                    yield pd.DataFrame([(bucket, k, rid, x) for bucket in part.tolist() for k, x in held], columns=["bucket", "cut", "rid", "found"])
+                for bucket in buckets:
+                    rows += [(bucket, k, rid, x) for k, x in held]
+                    size += len(h) + 100
+                    if size > 1_000_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=names)
 
     return sets.select("rid", "buckets", "found").mapInPandas(run, "bucket int, cut int, rid long, found binary")
 
 
-def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK, paired: int = PAIRED) -> DataFrame:
+def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK, paired: int = PAIRED, a_task: int = ENTRIES, a_bucket: int = HUGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     n = max(1, -(-docs.select("doc_id").count() // docs_a_fragment))
     seen = written(scan(docs, n), "shingles")
     each = seen.where(F.col("n").isNotNull()).select("doc_id", "n", "front", "rid")
     classes = written(each.where(F.col("rid").isNotNull() & F.col("doc_id").isNotNull()).groupBy("rid").agg(F.min("n").alias("n"), F.min("front").alias("front"), F.min("doc_id").alias("least")), "classes")
 
-    shared = seen.where(F.col("fragment").isNotNull()).select("fragment", "hashes", "owners", "names").groupBy("fragment").applyInPandas(lambda pdf: _shared(pdf, n), "bucket int, hashes binary, rids binary, held binary")
+    shared = shared_entries(seen.where(F.col("fragment").isNotNull()).select("fragment", "hashes", "owners", "names"), n, a_task)
     sets = classes.select("rid", "n", "front", F.pmod("rid", F.lit(n)).cast("int").alias("bucket"))
     prefixes = sets.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInPandas(_prefixes, "h long, rid long, n long, place long")
-    met = written(prefixes.groupBy(F.pmod("h", F.lit(n)).alias("f")).applyInPandas(_meetings, "u long, nu long, v long, nv long, hot boolean").distinct(), "pairs")
+    met = written(meetings(written(prefixes, "prefixes"), n, max(a_bucket, LARGE)), "pairs")
     pairs, chains = met.where(~F.col("hot")).drop("hot"), met.where("hot").select("u", "v")
 
     groups = components(chains) if chains.head(1) else chains.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -279,7 +279,7 @@ def test_op4_groups_of_copies(spark, monkeypatch, large):
     rows += [(300 + i, "A b c") for i in range(5)] + [(310, "a B c"), (311, "a b"), (312, None), (313, "")]
     pick.shuffle(rows)
     df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOC)
-    assert joined(df, docs_a_fragment=40, block=32, paired=2000) == brute_links(rows)
+    assert joined(df, docs_a_fragment=40, block=32, paired=2000, a_task=100 if large == 8 else 10**6, a_bucket=10) == brute_links(rows)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
