@@ -12,7 +12,8 @@ share a shingle among the first ``n - ceil(0.8 n) + 1`` of either, so
 4. pairs are dealt to buckets by the least neighbour of one end, so that a clique stays together; the buckets' sets are cut into
    fragments, each counts the partial overlaps of the bucket's pairs, and these are summed per pair;
 5. groups are compared in cells of at most two blocks of sets: a cell cuts its shingles into fragments, counts partial overlaps
-   in each as a product of incidence matrices, and sums them; links leave as a spanning forest.
+   in each as a product of incidence matrices, and sums them; links leave as a spanning forest. Cells of one block and the
+   group's pivots come first; only blocks that these have not joined meet after that.
 
 Equal sets are one record from step 1 on. No step caps partners or drops frequent shingles: a large group only becomes
 more cells. Nothing that grows with the corpus goes to the driver but counts.
@@ -52,6 +53,8 @@ MOST_SENT = 200_000
 CUTS, PAIRED = 8, 16_000_000
 #: Entries of a fragment, and of a bucket of one shingle, above which it is split over tasks.
 ENTRIES, HUGE = 4_000_000, 100_000
+#: One set in so many of a block is a pivot of its group.
+PIVOTS = 32
 _COLUMNS = 4096
 
 
@@ -450,6 +453,38 @@ def _cut(sets: DataFrame) -> DataFrame:
     return sets.select("rid", "buckets", "found").mapInPandas(run, "bucket int, cut int, rid long, found binary")
 
 
+def inside(grouped: DataFrame, n_tasks: int, block: int) -> DataFrame:
+    """Links within groups. Every block is compared with itself and with its group's pivots, about one set in ``PIVOTS`` of a block;
+    what hangs together by these links needs no other comparison within. Sets of different components then meet, block by block."""
+    task = F.pmod(F.xxhash64("group", "one", "two"), F.lit(n_tasks)).alias("task")
+
+    def compared(cells: DataFrame) -> DataFrame:
+        return cells.select("rid", "group", "block", "one", "two", "found").groupBy(task).applyInPandas(_cells, "u long, v long")
+
+    at = F.xxhash64("rid")
+    own = grouped.withColumn("block", F.pmod(at, F.col("blocks")).cast("int"))
+    pivots = grouped.where((F.col("blocks") > 1) & (F.pmod(at, F.col("blocks") * PIVOTS) == 0)).withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    links = written(compared(own.unionByName(pivots).withColumns({"one": F.col("block"), "two": F.col("block")})), "near")
+    several = grouped.where(F.col("blocks") > 1)
+    if not several.head(1):
+        return links
+
+    roots = components(links).withColumnRenamed("node", "rid")
+    sets = several.select("rid", "group").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    # a component of a block or more has blocks of its own, that are not compared with each other; smaller ones share blocks
+    counts = sets.groupBy("group", "root").agg(F.count("*").alias("size")).withColumn("kind", F.when(F.col("size") >= block, F.col("root")))
+    kinds = counts.groupBy("group", "kind").agg(F.ceil(F.sum("size") / block).cast("int").alias("k"))
+    before = Window.partitionBy("group").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = kinds.withColumns({"start": F.coalesce(F.sum("k").over(before), F.lit(0)).cast("int"), "blocks": F.sum("k").over(Window.partitionBy("group")).cast("int"), "mixed": F.col("kind").isNull()})
+    kinds = kinds.where(F.col("mixed") | (F.col("blocks") > F.col("k"))).withColumnsRenamed({"group": "of", "kind": "of_kind"})
+    placed = counts.join(kinds, (F.col("group") == F.col("of")) & F.col("kind").eqNullSafe(F.col("of_kind"))).select("group", "root", "k", "start", "blocks", "mixed")
+    dealt = sets.join(placed, ["group", "root"]).select("rid", "group", "k", "start", "blocks", "mixed")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.col("mixed") | (x < F.col("start")) | (x >= F.col("start") + F.col("k")))
+    met = several.select("rid", "group", "found").join(dealt, ["rid", "group"]).withColumn("block", (F.col("start") + F.pmod(at, F.col("k"))).cast("int"))
+    met = met.withColumn("other", F.explode(others)).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
+    return links.unionByName(compared(met))
+
+
 def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK, paired: int = PAIRED, a_task: int = ENTRIES, a_bucket: int = HUGE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     n = max(1, -(-docs.select("doc_id").count() // docs_a_fragment))
@@ -478,11 +513,8 @@ def join(docs: DataFrame, docs_a_fragment: int = 4096, block: int = BLOCK, paire
     partial = _cut(found.where(F.col("buckets").isNotNull())).groupBy("bucket", "cut").cogroup(each_cut.groupBy("bucket", "cut")).applyInPandas(_partial, "u long, v long, nu long, nv long, shared long")
     summed = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("shared").alias("o"))
     links = summed.where(100 * F.col("o") >= PERCENT * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v")
-    # groups: cells of two blocks at most, compared whole
-    grouped = found.where(F.col("group").isNotNull()).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    cells = grouped.select("rid", "group", "block", "found", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("rid", "group", "block", "found", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    inside = cells.groupBy(F.pmod(F.xxhash64("group", "one", "two"), F.lit(4 * n)).alias("task")).applyInPandas(_cells, "u long, v long")
-    roots = components(links.unionByName(inside)).select(F.col("node").alias("rid"), "root")
+    groups_links = inside(found.where(F.col("group").isNotNull()).select("rid", "group", "blocks", "found"), 4 * n, block)
+    roots = components(links.unionByName(groups_links)).select(F.col("node").alias("rid"), "root")
 
     linked_to = classes.join(roots, "rid").groupBy("root").agg(F.min("least").alias("component_id")).join(roots, "root").select("rid", "component_id")
     named = classes.join(linked_to, "rid", "left").select("rid", F.coalesce("component_id", "least").alias("component_id"))

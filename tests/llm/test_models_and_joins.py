@@ -282,6 +282,34 @@ def test_op4_groups_of_copies(spark, monkeypatch, large):
     assert joined(df, docs_a_fragment=40, block=32, paired=2000, a_task=100 if large == 8 else 10**6, a_bucket=10) == brute_links(rows)
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_op4_links_inside_a_group(spark, block):
+    """Two large clusters of near copies, one set between them, and loose ones that share words with all: every link counts."""
+    pick = random.Random(9)
+    found = {}
+    for i in range(90):
+        h = np.arange(1000 if i % 2 else 1100, 2000 if i % 2 else 2100, dtype=np.uint64)
+        h[pick.randrange(400, 900)] += np.uint64(5000 + i)
+        found[i] = h if i % 9 else np.arange(i * 100, i * 100 + 300, dtype=np.uint64)
+    found[200] = np.arange(1050, 2050, dtype=np.uint64)
+    rows = [(i, 1 + i // 150, -(-91 // block), np.sort(h).tobytes()) for i, h in found.items()]
+    rows += [(-i - 1, 7, 1, np.sort(h).tobytes()) for i, h in found.items() if i < 5]
+    df = spark.createDataFrame([(i, 3 if i >= 0 else g, b, h) for i, g, b, h in rows], "rid long, group long, blocks int, found binary")
+    links = [tuple(r) for r in jaccard.inside(df, 4, block).collect()]
+    held = {i: set(np.frombuffer(h, np.uint64).tolist()) for i, _, _, h in rows}
+    wanted = [(i, j) for i in held for j in held if i < j and (i < 0) == (j < 0) and 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])]
+    assert all((min(x), max(x)) in set(wanted) for x in links)
+    assert parts_of(held, links) == parts_of(held, wanted)
+
+
+def parts_of(nodes, links):
+    root = {i: i for i in nodes}
+    for _ in nodes:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    return root
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_op4_few_words_in_all(spark, n):
     docs = spark.createDataFrame([(1, "one two three four"[: [3, 7, 13, 18][n - 1]], "en", "s", 0)], DOC)
