@@ -96,8 +96,9 @@ def joined(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[s[1]]}:{s[0]}:{s[2]}" for s in spans)
 
 
-#: Rows from which on a value's counts are sent to its rows instead of being joined by a shuffle of them.
-HOT_ROWS = 10_000
+#: Rows from which on a value's counts are sent to its rows instead of being joined by a shuffle of them, and how many values
+#: can be sent at most: one needs at least that share of all spans, so the bound holds for any input (some 20 MB).
+HOT_ROWS, MOST_HOT = 10_000, 100_000
 _SPAN = "struct<start:int,kind:int,end:int,hash:binary>"
 
 
@@ -124,7 +125,7 @@ def scan(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_
     return map_rows(docs, kept, ["text"], f"row string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<{_SPAN}>", make)
 
 
-def find(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = 2, most_repositories: int = 10) -> DataFrame:
+def find(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_id", most_owners: int = 2, most_repositories: int = 10, hot_rows: int = HOT_ROWS, most_hot: int = MOST_HOT) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, counts).
 
     ``counts`` has kind:start:end:owners:repositories of every proposed span, copied ones included.
@@ -137,9 +138,10 @@ def find(docs: DataFrame, owner_col: str = "source", repository_col: str = "doc_
     rows = each.groupBy("hash").agg(F.count("*").alias("rows"))
     spread = owners.join(repositories, "hash").join(rows, "hash").select("hash", ((F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)).alias("live"), "owners", "repositories", "rows")
     spread = written(spread, "spread")
-    # a value in HOT_ROWS rows or more, of which there are at most one in HOT_ROWS spans, is sent to where its rows are
-    hot = F.broadcast(spread.where(F.col("rows") >= HOT_ROWS))
-    known = each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(spread.where(F.col("rows") < HOT_ROWS), "hash"))
+    # a value in that many rows, of which there are most_hot at most, is sent to where its rows are
+    least = max(hot_rows, -(-(spread.agg(F.sum("rows")).first()[0] or 0) // most_hot))
+    hot = F.broadcast(spread.where(F.col("rows") >= least))
+    known = each.join(hot, "hash").unionByName(each.join(hot.select("hash"), "hash", "left_anti").join(spread.where(F.col("rows") < least), "hash"))
     kinds = F.array(*(F.lit(k) for k in KINDS))
     judged = known.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when((F.col("kind") < N_BASE) | F.col("live"), F.struct("start", "kind", "end")))).alias("kept"),

@@ -326,6 +326,17 @@ def test_op7_copies_within_one_source(spark):
     assert {(r["spans"], r["n_live"], r["n_copied"], r["counts"]) for i, r in got.items() if i >= 1000} == {("github:4:44", 1, 0, "github:4:44:1:3")}
 
 
+def test_op7_values_sent_or_shuffled_count_alike(spark):
+    value = "ghp_" + "Ab1" * 11
+    rows = [(100 * k + i, f"key {value}{k:03d}", f"s{i % 3}") for k in range(6) for i in range(3 * k + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    usual = sorted(secrets.find(df).collect())
+    assert len(usual) == len(rows) and {r["n_live"] for r in usual} == {0, 1}
+    # all values are sent; then those of at least a quarter of the 51 spans; then none
+    for how in ({"hot_rows": 1}, {"hot_rows": 1, "most_hot": 4}, {"hot_rows": 1, "most_hot": 1}):
+        assert sorted(secrets.find(df, **how).collect()) == usual
+
+
 def test_op7_odd(odd_docs, no_docs):
     assert secrets.find(odd_docs).count() == 10
     assert secrets.find(no_docs).count() == 0
