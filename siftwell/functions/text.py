@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: Unicode's space separators; fixed values.
+SPACES = " \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 #: Phrases that mark an answer without information; fixed values, English then Russian.
 NO_INFO = (
     "there is no",
@@ -43,6 +45,13 @@ def html_escape(c: Column) -> Column:
     return reduce(lambda s, x: F.replace(s, F.lit(x[0]), F.lit(x[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), c)
 
 
+def plain_title(c: Column) -> Column:
+    """A title as the source has it on one line: space separators off both ends, then each run of ASCII white space one
+    blank, then ``&lt;``, ``&gt;`` and ``&amp;`` replaced in this order; other references stay as written."""
+    one_line = F.regexp_replace(F.btrim(c, F.lit(SPACES)), r"[\t\n\f\r ]+", " ")
+    return reduce(lambda s, x: F.replace(s, F.lit(x[0]), F.lit(x[1])), (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")), one_line)
+
+
 def lines(c: Column) -> Column:
     """All line ends that Unicode knows; a text that ends with one has a last empty line."""
     return F.split(c, LINE_END, -1)

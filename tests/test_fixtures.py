@@ -177,6 +177,14 @@ def test_html_sections():
     assert html.sections("") == []
 
 
+def test_html_sections_outer(spark):
+    df = spark.createDataFrame([(None, None), (2**53 + 1, "<p></p>"), (3, "<title>a&amp</title><h2>A</h2>a<h2>B</h2>b"), (4, "<![x[y]]><p>b")], "page_id long, html string").coalesce(1)
+    a = [(3, 0, "A", "a"), (3, 1, "B", "b"), (4, 0, "", "b")]
+    assert [(r["page_id"], r["section"], r["title"], r["content"]) for r in html.page_sections(df).collect()] == a
+    outer = [(None, None, None, None, None, None), (2**53 + 1, None, None, None, "", False), *((*r, "a&amp", True) for r in a[:2]), (*a[2], "", True)]
+    assert [tuple(r) for r in html.page_sections(df, outer=True).drop("anchor").collect()] == outer
+
+
 def test_tables(spark, tmp_path):
     y = tmp_path / "r.yaml"
     y.write_text("a: [{source_url: u, source_page_title: t, content: c}]\nb: [{source_url: v}]\n")
